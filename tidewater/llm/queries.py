@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, quality_crf, source_mixing, toxicity_grammar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": quality_crf.op1,
+    "op2_toxicity": toxicity_grammar.op2,
     "op3_ngram_jaccard_join": jaccard_join.op3,
+    "op4_source_mixing": source_mixing.op4,
 }
 
 #: DuckDB SQL for those that SQL can express within reason.

@@ -85,10 +85,11 @@ def row_slices(offs: np.ndarray, limit: int = 4 * WINDOW) -> Iterator[tuple[int,
 class Words:
     """Words of consecutive rows: start and length in bytes, 64-bit hash, and first word of each row."""
 
-    __slots__ = ("start", "length", "hash", "first")
+    __slots__ = ("start", "length", "hash", "first", "prefix")
 
     def __init__(self, start: np.ndarray, length: np.ndarray, hash_: np.ndarray, first: np.ndarray):
         self.start, self.length, self.hash, self.first = start, length, hash_, first
+        self.prefix: dict[int, np.ndarray] = {}
 
 
 def windows(data: np.ndarray, kept: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -112,10 +113,14 @@ def windows(data: np.ndarray, kept: np.ndarray, breaks: np.ndarray) -> Iterator[
         at = end
 
 
-def words(data: np.ndarray, offs: np.ndarray, kept: np.ndarray, fold: np.ndarray = LOWER, hashes: bool = True) -> Words:
-    """Cut every row into words and hash them.  ``kept``: bytes of words, after ``fold``."""
+def words(data: np.ndarray, offs: np.ndarray, kept: np.ndarray, fold: np.ndarray = LOWER, hashes: bool = True, prefixes: tuple[int, ...] = ()) -> Words:
+    """Cut every row into words and hash them.  ``kept``: bytes of words, after ``fold``.
+
+    ``prefixes``: lengths in bytes whose hashes ``Words.prefix`` gets too; 0 for shorter words.
+    """
     kept_raw = kept[fold]
     starts, lengths, values = [], [], []
+    heads: dict[int, list[np.ndarray]] = {p: [] for p in prefixes}
     for a, b in windows(data, kept_raw, offs):
         raw = data[a:b]
         inside = kept_raw[raw]
@@ -136,10 +141,26 @@ def words(data: np.ndarray, offs: np.ndarray, kept: np.ndarray, fold: np.ndarray
             total = np.zeros(b - a + 1, U64)
             np.cumsum((fold[raw].astype(U64) + U64(1)) * up[: b - a], out=total[1:])
             values.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)))
+            for p in prefixes:
+                value = np.zeros(len(s), U64)
+                long = s[e - s >= p]
+                value[e - s >= p] = mix((total[long + p] - total[long]) * down[long] + U64(p))
+                heads[p].append(value)
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     value = np.concatenate(values) if values else np.zeros(0, U64)
-    return Words(start, length, value, np.searchsorted(start, offs))
+    out = Words(start, length, value, np.searchsorted(start, offs))
+    out.prefix = {p: np.concatenate(x) if x else np.zeros(0, U64) for p, x in heads.items()}
+    return out
+
+
+def word_hash(word: str) -> int:
+    """The hash that ``words`` gives this word, already folded."""
+    value, power = 0, 1
+    raw = word.encode()
+    for b in raw:
+        value, power = value + (b + 1) * power & MASK, power * MULT & MASK
+    return mix_int(value + len(raw))
 
 
 SHINGLE = 5
