@@ -92,7 +92,14 @@ def elements(s: np.ndarray) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & U64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32)
+    """Counts of a set in a power of two of groups, about four shingles each and DIMS groups at least."""
+    dims = max(DIMS, 1 << max(0, (len(s) - 1).bit_length() - 2))
+    return np.bincount((s & U64(dims - 1)).astype(np.int64), minlength=dims).astype(np.int32)
+
+
+def folded(points: np.ndarray, dims: int) -> np.ndarray:
+    """The same counts in fewer groups."""
+    return points.reshape(*points.shape[:-1], -1, dims).sum(-2) if points.shape[-1] > dims else points
 
 
 # -- step 1 and 2: nodes, elements, ties ---------------------------------------------------------
@@ -282,7 +289,7 @@ class CountRTree:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(node_of(s), point(s).tobytes()) for _, s in distinct_shingles(batch.column(0))]
+        rows = [(node_of(s), point(s).astype(np.uint16).tobytes()) for _, s in distinct_shingles(batch.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "counts"])
 
 
@@ -292,7 +299,10 @@ def _tree_pairs(table: pa.Table) -> pa.Table:
     block = table["block"].to_numpy()
     node, label = table["node"].to_numpy(), table["label"].to_numpy()
     asks = table["query"].to_numpy(zero_copy_only=False).astype(bool)
-    counts = np.stack([np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()])
+    fine = [np.frombuffer(x, np.uint16).astype(np.int32) for x in table["counts"].to_pylist()]
+    counts = np.stack([folded(x, DIMS) for x in fine])
+    dims = np.array([len(x) for x in fine])
+    size = counts.sum(1)
     order = np.argsort(block, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(block)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -302,8 +312,13 @@ def _tree_pairs(table: pa.Table) -> pa.Table:
             continue
         tree = CountRTree(counts[points])
         for i in queries:
-            for j in points[tree.search(counts[i])]:
-                if label[i] != label[j]:
+            found = points[tree.search(counts[i])]
+            found = found[label[found] != label[i]]
+            for d in np.unique(dims[found]).tolist():  # the bound again, in as many groups as both have
+                same, least = found[dims[found] == d], min(d, int(dims[i]))
+                q = folded(fine[i], least)
+                bound = np.concatenate([np.minimum(folded(np.stack([fine[j] for j in same[k : k + 256]]), least), q).sum(1) for k in range(0, len(same), 256)])
+                for j in same[9 * bound >= 4 * (size[i] + size[same])].tolist():
                     out.add((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=_EDGES)
 
