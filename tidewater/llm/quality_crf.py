@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,14 +208,6 @@ def _scores(model: Model):
     return run
 
 
-def score_documents(documents: DataFrame, model: Model, keep: list[str], with_text: bool = False) -> DataFrame:
-    """``keep`` columns of every row with its score; the text too if asked for."""
-    names = list(dict.fromkeys([*keep, "text"]))
-    scored = documents.select(*names)
-    out = scored.mapInArrow(_scores(model), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema) + ", score double")
-    return out if with_text or "text" in keep else out.drop("text")
-
-
 HELD_OUT = fitting.remainder(5, 0)
 
 
@@ -233,3 +226,14 @@ def _slim(model: Model):
             yield batch.select(["doc_id", "score"])
 
     return run
+
+
+def kept(model: Model):
+    """For mapInArrow over whole rows: those of documents that are good enough."""
+    score = _scores(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in score(batches):
+            yield batch.filter(pa.compute.greater_equal(batch["score"], THRESHOLD)).select(batch.schema.names[:-1])
+
+    return run

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_crf, source_mixing, toxicity_grammar
+from . import jaccard_join, quality_crf, source_mixing, suffix_pieces, toxicity_grammar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": toxicity_grammar.op2,
     "op3_ngram_jaccard_join": jaccard_join.op3,
     "op4_source_mixing": source_mixing.op4,
+    "op5_sentencepiece": suffix_pieces.op5,
 }
 
 #: DuckDB SQL for those that SQL can express within reason.

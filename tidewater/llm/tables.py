@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def importable(spark: SparkSession) -> None:
@@ -44,3 +45,12 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of two or three numbers up to which ``narrow`` broadcasts, about 24 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast where its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

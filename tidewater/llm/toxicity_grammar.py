@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -314,3 +315,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(documents, labels, HELD_OUT)
     scored = documents.select("doc_id", "text").mapInArrow(_scores(model, ["doc_id"]), "doc_id long, score double")
     return scored.select("doc_id", HELD_OUT(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def kept(model: Model):
+    """For mapInArrow over whole rows: those of documents that are not toxic."""
+    score = _scores(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in score(batches):
+            yield batch.filter(pa.compute.less(batch["score"], THRESHOLD)).select(batch.schema.names[:-1])
+
+    return run
