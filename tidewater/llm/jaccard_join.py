@@ -17,11 +17,13 @@ Steps, each over all documents or all that remain open, with no cap on group or
 1. Each text gives its node (the hash of its shingle set, so exact copies are one node) and its
    elements, packed in blocks of about 9 bytes an element, one block per batch and partition.
 2. Each partition finds the nodes that share an element and ties each to the smallest of them.
+   Tied nodes get their points, and ties that the bound rules out are not verified.
 3. Each node is verified against the node that it shares most elements with; components follow.
 4. Ties that still join two components are verified too; components follow again.
 5. Where a tie still joins two components, all nodes tied to the same node meet in R-trees, blocked
-   so that no block grows with the group; pairs of different components that pass the bound are
-   verified.  Pairs inside a component need no check, as only the component is asked for.
+   so that no block grows with the group.  Of the pairs of different components that pass the bound
+   first the best of each node and component are verified, then, with the components that follow,
+   all that are left.  Pairs inside a component need no check, as only the component is asked for.
 
 Sizes, ties, repeated rows: repeated documents, also repeated ids, are rows of the result each.
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
@@ -47,6 +49,8 @@ LEAF = 16
 #: Nodes of one block of an R-tree group, and members of one verification block.
 BLOCK = 4096
 STAR = 256
+#: Pairs of a node and another component that are verified first.
+BEST = 2
 #: Rows up to which a table of (doc_id, node) is broadcast, 16 MB; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -92,9 +96,28 @@ def elements(s: np.ndarray) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of a set in a power of two of groups, about four shingles each and DIMS groups at least."""
-    dims = max(DIMS, 1 << max(0, (len(s) - 1).bit_length() - 2))
-    return np.bincount((s & U64(dims - 1)).astype(np.int64), minlength=dims).astype(np.int32)
+    """Counts of a set in a power of two of groups, as many as it has shingles and DIMS at least.
+
+    In so many groups the bound is nearly the overlap itself.
+    """
+    dims = max(DIMS, 1 << max(0, (len(s) - 1).bit_length()))
+    return np.bincount((s & U64(dims - 1)).astype(np.int64), minlength=dims)
+
+
+def packed_point(s: np.ndarray) -> bytes:
+    """A point in one byte a group, or two if a count needs it, after a byte that says which."""
+    counts = point(s)
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\2" + counts.astype("<u2").tobytes()
+
+
+def unpacked_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else "<u2", offset=1).astype(np.int32)
+
+
+def may_be_linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """The bound by summed minima, in as many groups as both points have."""
+    least = min(len(a), len(b))
+    return 9 * int(np.minimum(folded(a, least), folded(b, least)).sum()) >= 4 * int(a.sum() + b.sum())
 
 
 def folded(points: np.ndarray, dims: int) -> np.ndarray:
@@ -223,7 +246,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _verify(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+def _verify(documents: DataFrame, names: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     """Those pairs (a, b) that are linked.  Pairs meet at b, in blocks of about STAR members."""
     spark = documents.sparkSession
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("salts"))
@@ -231,7 +254,7 @@ def _verify(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, parts: int
     members = salted.select(F.col("a").alias("node"), F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))).alias("block"), F.lit(False).alias("center"))
     centers = sizes.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("node", F.xxhash64("b", F.col("salt").cast("long")).alias("block"), F.lit(True).alias("center"))
     wanted = members.unionByName(centers).withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).groupBy("node").agg(F.collect_set(F.struct("part", "block", "center")).alias("blocks"))
-    wanted = tables.stored(wanted.join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("doc_id", "node", "blocks"), "wanted")
+    wanted = tables.stored(wanted.join(names, "node").select("doc_id", "node", "blocks"), "wanted")
     texts = _joined(documents.select("doc_id", "text"), wanted)
     blocks = texts.select("text", "blocks").mapInArrow(_sets, "part int, block long, node long, center boolean, members binary")
     found = blocks.groupBy("part").applyInArrow(_verified, "a long, b long")
@@ -289,54 +312,87 @@ class CountRTree:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(node_of(s), point(s).astype(np.uint16).tobytes()) for _, s in distinct_shingles(batch.column(0))]
+        rows = [(node_of(s), packed_point(s)) for _, s in distinct_shingles(batch.column(0)) if len(s)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "counts"])
 
 
-def _tree_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different components that pass the bound, of the queries and points of each block."""
-    out: set[tuple[int, int]] = set()
-    block = table["block"].to_numpy()
-    node, label = table["node"].to_numpy(), table["label"].to_numpy()
-    asks = table["query"].to_numpy(zero_copy_only=False).astype(bool)
-    fine = [np.frombuffer(x, np.uint16).astype(np.int32) for x in table["counts"].to_pylist()]
-    counts = np.stack([folded(x, DIMS) for x in fine])
-    dims = np.array([len(x) for x in fine])
-    size = counts.sum(1)
-    order = np.argsort(block, kind="stable")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(block)]])
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        rows = order[a:b]
-        points, queries = rows[~asks[rows]], rows[asks[rows]]
-        if not len(points) or not len(queries):
-            continue
-        tree = CountRTree(counts[points])
-        for i in queries:
-            found = points[tree.search(counts[i])]
-            found = found[label[found] != label[i]]
-            for d in np.unique(dims[found]).tolist():  # the bound again, in as many groups as both have
-                same, least = found[dims[found] == d], min(d, int(dims[i]))
-                q = folded(fine[i], least)
-                bound = np.concatenate([np.minimum(folded(np.stack([fine[j] for j in same[k : k + 256]]), least), q).sum(1) for k in range(0, len(same), 256)])
-                for j in same[9 * bound >= 4 * (size[i] + size[same])].tolist():
-                    out.add((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
-    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=_EDGES)
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [may_be_linked(unpacked_point(x), unpacked_point(y)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
 
+def _possible(ties: DataFrame, points: DataFrame) -> DataFrame:
+    """Ties whose points pass the bound."""
+    first = ties.join(points.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a")
+    both = first.join(points.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b")
+    return tables.stored(both.select("a", "b", "shared", "ca", "cb").mapInArrow(_bounded, "a long, b long, shared long"), "possible")
 
-def _open_pairs(documents: DataFrame, nodes: DataFrame, ties: DataFrame, labels: DataFrame, parts: int) -> DataFrame | None:
+
+def _tree_pairs(best: int | None):
+    """Pairs of different components that pass the bound, of the queries and points of each block.
+
+    ``best``: keep so many pairs of a query and another component, those with the highest bound.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        out: set[tuple[int, int]] = set()
+        block, node, label, role = (table[c].to_numpy() for c in ("block", "node", "label", "role"))
+        fine = [unpacked_point(x) for x in table["counts"].to_pylist()]
+        counts = np.stack([folded(x, DIMS) for x in fine])
+        dims, size = np.array([len(x) for x in fine]), counts.sum(1)
+        order = np.argsort(block, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(block)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = order[a:b]
+            members, queries = rows[role[rows] != QUERY], rows[role[rows] != MEMBER]
+            if not len(members) or not len(queries):
+                continue
+            tree = CountRTree(counts[members])
+            for i in queries:
+                near = members[tree.search(counts[i])]
+                near = near[label[near] != label[i]]
+                bounds = np.zeros(len(near), np.int64)
+                for d in np.unique(dims[near]).tolist():
+                    at, least = np.flatnonzero(dims[near] == d), min(d, int(dims[i]))
+                    q = folded(fine[i], least)
+                    for k in range(0, len(at), 256):
+                        some = at[k : k + 256]
+                        bounds[some] = np.minimum(folded(np.stack([fine[j] for j in near[some]]), least), q).sum(1)
+                passed = 9 * bounds >= 4 * (size[i] + size[near])
+                near, bounds = near[passed], bounds[passed] / (size[i] + size[near[passed]])
+                if best is not None and len(near) > best:
+                    by = np.lexsort((node[near], -bounds, label[near]))
+                    heads = np.flatnonzero(np.concatenate([[True], np.diff(label[near][by]) != 0]))
+                    rank = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
+                    near = near[by[rank < best]]
+                out |= {(max(int(node[i]), j), min(int(node[i]), j)) for j in node[near].tolist()}
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=_EDGES)
+
+    return run
+
+
+#: Parts of a row in an R-tree block.
+MEMBER, QUERY, BOTH = 0, 1, 2
+
+
+def _open_pairs(ties: DataFrame, points: DataFrame, labels: DataFrame, parts: int, best: int | None) -> DataFrame | None:
     """Pairs still to be verified: those of nodes tied to one node, of different components."""
-    named = _labelled(ties, labels)
-    unresolved = tables.stored(named.where("la <> lb").select("a", "b"), "open")
+    unresolved = tables.stored(_labelled(ties, labels).where("la <> lb").select("a", "b"), "open")
     if unresolved.isEmpty():
         return None
-    groups = tables.stored(ties.join(unresolved.select("b").distinct(), "b").select("b", F.col("a").alias("node")).unionByName(unresolved.select("b", F.col("b").alias("node"))).distinct(), "groups")
+    asks = unresolved.select("b", F.col("a").alias("node"), F.lit(1).alias("asks"))
+    centers = unresolved.select("b", F.col("b").alias("node"), F.lit(0).alias("asks")).distinct()
+    tied = ties.join(unresolved.select("b").distinct(), "b", "left_semi").select("b", F.col("a").alias("node"), F.lit(0).alias("asks"))
+    groups = tied.unionByName(asks).unionByName(centers).groupBy("b", "node").agg(F.max("asks").alias("asks"))
+    groups = tables.stored(groups, "groups")
     sizes = groups.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("salts"))
-    members = groups.join(sizes, "b").select("node", F.xxhash64("b", F.pmod(F.xxhash64("node"), F.col("salts"))).alias("block"), F.lit(False).alias("query"))
-    queries = unresolved.join(sizes, "b").select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("node", F.xxhash64("b", F.col("salt").cast("long")).alias("block"), F.lit(True).alias("query"))
-    present = groups.select("node").distinct().join(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").withColumn("blocks", F.array(F.lit(0)))
-    points = tables.stored(_joined(documents.select("doc_id", "text"), tables.stored(present, "present")).select("text").mapInArrow(_points, "node long, counts binary").dropDuplicates(["node"]), "points")
-    rows = members.unionByName(queries).join(points, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pairs = rows.withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).select("part", "block", "node", "label", "query", "counts").groupBy("part").applyInArrow(_tree_pairs, "a long, b long")
+    dealt = groups.join(sizes, "b").withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    salts = F.when(F.col("asks") == 1, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("own"))
+    role = F.when(F.col("asks") == 0, MEMBER).when(F.col("salt") == F.col("own"), BOTH).otherwise(QUERY)
+    rows = dealt.withColumn("salt", F.explode(salts)).select("node", F.xxhash64("b", F.col("salt").cast("long")).alias("block"), role.alias("role"))
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(points, "node")
+    pairs = rows.withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).select("part", "block", "node", "label", "role", "counts").groupBy("part").applyInArrow(_tree_pairs(best), "a long, b long")
     return tables.stored(pairs.distinct(), "pairs")
 
 
@@ -354,21 +410,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     parts = tables.shuffle_partitions(spark)
     nodes = tables.stored(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_nodes, NODES), "nodes")
     filled = nodes.where("node >= 0")
+    names = tables.stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
     packed = documents.select(F.col("text").cast("string")).mapInArrow(_packed(parts), "part int, elements binary, nodes binary, counts binary")
     ties = tables.stored(packed.groupBy("part").applyInArrow(_ties, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared")), "ties")
-    best = ties.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = _verify(documents, filled, best, parts)
+    tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = tables.stored(tied.join(names, "node").select("doc_id"), "tied").withColumn("blocks", F.array(F.lit(0)))
+    points = tables.stored(_joined(documents.select("doc_id", "text"), wanted).select("text").mapInArrow(_points, "node long, counts binary").dropDuplicates(["node"]), "points")
+    possible = _possible(ties, points)
+    best = possible.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    links = _verify(documents, names, best, parts)
     labels = tables.stored(components.connected(links), "labels")
-    rest = tables.stored(_labelled(ties.join(best, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verify(documents, filled, rest, parts))
-        labels = tables.stored(components.connected(links), "labels")
-        pairs = _open_pairs(documents, filled, ties, labels, parts)
+    for step in (0, 1, 2):
+        if step == 0:
+            pairs = tables.stored(_labelled(possible, labels).where("la <> lb").select("a", "b"), "rest")
+        else:
+            pairs = _open_pairs(ties, points, labels, parts, BEST if step == 1 else None)
         if pairs is not None and not pairs.isEmpty():
-            links = links.unionByName(_verify(documents, filled, pairs, parts))
+            links = tables.stored(links.unionByName(_verify(documents, names, pairs, parts)), "all")
             labels = tables.stored(components.connected(links), "labels")
-    least = filled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = filled.select("node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(least, "label").select("node", "component_id")
+    # a node outside all links is its own component, named by its smallest document
+    least = labels.join(names, "node").groupBy("label").agg(F.min("doc_id").alias("least"))
+    of_node = names.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     named = nodes.join(of_node, "node", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
