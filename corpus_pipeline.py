@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from tidewater.llm import jaccard_join, quality_crf, source_mixing, suffix_pieces, tables, toxicity_grammar
 
 
+#: A column of our own beside the documents', whatever those are called.
+COPIES = "tidewater copies"
+
+
 def _schema(docs: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -46,8 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
     planned, _ = source_mixing.plan(docs)
-    copies = tables.stored(planned.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("n_copies")), "copies")
-    return docs.join(tables.narrow(copies), "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    copies = tables.stored(planned.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(COPIES)), "copies")
+    return docs.join(tables.narrow(copies), "doc_id").withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ Steps, each over all documents or all that remain open, with no cap on group or
 
 Sizes, ties, repeated rows: repeated documents, also repeated ids, are rows of the result each.
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
-A null doc_id stays null and never names a component unless alone.  Extra columns are ignored.
+Documents without an id link like any other, but name no component; one of only such has a null
+component_id.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def folded(points: np.ndarray, dims: int) -> np.ndarray:
 
 # -- step 1 and 2: nodes, elements, ties ---------------------------------------------------------
 
-NODES = "doc_id long, n_shingles long, node long"
+NODES = "doc_id long, n_shingles long, node long, handle long"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +136,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, node = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
         for row, s in distinct_shingles(batch.column(1)):
             n[row], node[row] = len(s), node_of(s)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], ["doc_id", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), batch.column(2)], ["doc_id", "n_shingles", "node", "handle"])
 
 
 def _packed(parts: int):
@@ -195,13 +196,15 @@ _TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's set as bytes, once for each block that it belongs to, and its point."""
+    """Each wanted node's set as bytes, once for each block that it belongs to."""
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("node", pa.int64()), ("center", pa.bool_()), ("members", pa.binary())])
     for batch in batches:
-        blocks = batch.column(1).to_pylist()
+        blocks, wanted = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         rows, held = [], 0
         for row, s in distinct_shingles(batch.column(0)):
             node, raw = node_of(s), s.tobytes()
+            if node != wanted[row]:
+                continue
             for x in blocks[row]:
                 rows.append((x["part"], x["block"], node, x["center"], raw))
                 held += len(raw)
@@ -254,22 +257,26 @@ def _verify(documents: DataFrame, names: DataFrame, pairs: DataFrame, parts: int
     members = salted.select(F.col("a").alias("node"), F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))).alias("block"), F.lit(False).alias("center"))
     centers = sizes.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("node", F.xxhash64("b", F.col("salt").cast("long")).alias("block"), F.lit(True).alias("center"))
     wanted = members.unionByName(centers).withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).groupBy("node").agg(F.collect_set(F.struct("part", "block", "center")).alias("blocks"))
-    wanted = tables.stored(wanted.join(names, "node").select("doc_id", "node", "blocks"), "wanted")
-    texts = _joined(documents.select("doc_id", "text"), wanted)
-    blocks = texts.select("text", "blocks").mapInArrow(_sets, "part int, block long, node long, center boolean, members binary")
+    wanted = tables.stored(wanted.join(names, "node").select("doc_id", "handle", "node", "blocks"), "wanted")
+    blocks = _joined(documents, wanted).select("text", "blocks", "node").mapInArrow(_sets, "part int, block long, node long, center boolean, members binary")
     found = blocks.groupBy("part").applyInArrow(_verified, "a long, b long")
     return tables.stored(found.distinct(), "links")
 
 
 def _joined(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Documents that ``wanted`` names, one row each; broadcast only below a size that is checked.
+    """The documents that ``wanted`` names by id and by a hash of the text, a row for each node.
 
-    A document id that repeats with other texts would give rows of other nodes; those are dropped.
+    Broadcast only below a size that is checked.  Texts without an id are found by the hash, one of
+    equal ones.
     """
-    small = wanted.agg(F.count("*"), F.sum(F.size("blocks"))).first()
-    if small[0] <= BROADCAST_ROWS and (small[1] or 0) <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return documents.join(wanted, "doc_id")
+    small = wanted.agg(F.count("*"), F.sum(F.size("blocks")), F.count_if(F.col("doc_id").isNull())).first()
+    fits = small[0] <= BROADCAST_ROWS and (small[1] or 0) <= BROADCAST_ROWS
+    of = F.broadcast if fits else lambda x: x
+    out = documents.where("doc_id is not null").join(of(wanted.where("doc_id is not null")), ["doc_id", "handle"])
+    if small[2]:
+        unnamed = documents.where("doc_id is null").join(of(wanted.where("doc_id is null").drop("doc_id")), "handle").dropDuplicates(["node"])
+        out = out.unionByName(unnamed.select(*out.columns))
+    return out
 
 
 # -- step 5: R-trees -----------------------------------------------------------------------------
@@ -312,7 +319,8 @@ class CountRTree:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(node_of(s), packed_point(s)) for _, s in distinct_shingles(batch.column(0)) if len(s)]
+        wanted = batch.column(1).to_pylist()
+        rows = [(wanted[row], packed_point(s)) for row, s in distinct_shingles(batch.column(0)) if len(s) and node_of(s) == wanted[row]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "counts"])
 
 
@@ -408,14 +416,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and node (identity of the shingle set) of every document row."""
     spark: SparkSession = documents.sparkSession
     parts = tables.shuffle_partitions(spark)
-    nodes = tables.stored(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_nodes, NODES), "nodes")
-    filled = nodes.where("node >= 0")
-    names = tables.stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
-    packed = documents.select(F.col("text").cast("string")).mapInArrow(_packed(parts), "part int, elements binary, nodes binary, counts binary")
+    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("handle", F.xxhash64("text"))
+    nodes = tables.stored(documents.mapInArrow(_nodes, NODES), "nodes")
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle")
+    names = tables.stored(nodes.where("node >= 0").groupBy("node").agg(F.min(named).alias("x")).select("node", "x.doc_id", "x.handle"), "names")
+    packed = documents.select("text").mapInArrow(_packed(parts), "part int, elements binary, nodes binary, counts binary")
     ties = tables.stored(packed.groupBy("part").applyInArrow(_ties, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared")), "ties")
     tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = tables.stored(tied.join(names, "node").select("doc_id"), "tied").withColumn("blocks", F.array(F.lit(0)))
-    points = tables.stored(_joined(documents.select("doc_id", "text"), wanted).select("text").mapInArrow(_points, "node long, counts binary").dropDuplicates(["node"]), "points")
+    wanted = tables.stored(tied.join(names, "node").select("doc_id", "handle", "node"), "tied").withColumn("blocks", F.array(F.lit(0)))
+    points = tables.stored(_joined(documents, wanted).select("text", "node").mapInArrow(_points, "node long, counts binary").dropDuplicates(["node"]), "points")
     possible = _possible(ties, points)
     best = possible.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = _verify(documents, names, best, parts)
@@ -431,8 +440,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # a node outside all links is its own component, named by its smallest document
     least = labels.join(names, "node").groupBy("label").agg(F.min("doc_id").alias("least"))
     of_node = names.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    named = nodes.join(of_node, "node", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return nodes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,6 @@ def kept(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in score(batches):
-            yield batch.filter(pa.compute.greater_equal(batch["score"], THRESHOLD)).select(batch.schema.names[:-1])
+            yield batch.filter(pa.compute.greater_equal(batch.column(batch.num_columns - 1), THRESHOLD)).select(list(range(batch.num_columns - 1)))
 
     return run
