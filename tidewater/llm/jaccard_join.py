@@ -112,18 +112,19 @@ def packed_point(s: np.ndarray) -> bytes:
 
 
 def unpacked_point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else "<u2", offset=1).astype(np.int32)
+    """A view of the bytes; sums over it widen by themselves."""
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else "<u2", offset=1)
 
 
 def may_be_linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The bound by summed minima, in as many groups as both points have."""
     least = min(len(a), len(b))
-    return 9 * int(np.minimum(folded(a, least), folded(b, least)).sum()) >= 4 * int(a.sum() + b.sum())
+    return 9 * int(np.minimum(folded(a, least), folded(b, least)).sum()) >= 4 * (int(a.sum()) + int(b.sum()))
 
 
 def folded(points: np.ndarray, dims: int) -> np.ndarray:
     """The same counts in fewer groups."""
-    return points.reshape(*points.shape[:-1], -1, dims).sum(-2) if points.shape[-1] > dims else points
+    return points.reshape(*points.shape[:-1], -1, dims).sum(-2, dtype=np.int32) if points.shape[-1] > dims else points
 
 
 # -- step 1 and 2: nodes, elements, ties ---------------------------------------------------------
@@ -347,8 +348,8 @@ def _tree_pairs(best: int | None):
         out: set[tuple[int, int]] = set()
         block, node, label, role = (table[c].to_numpy() for c in ("block", "node", "label", "role"))
         fine = [unpacked_point(x) for x in table["counts"].to_pylist()]
-        counts = np.stack([folded(x, DIMS) for x in fine])
-        dims, size = np.array([len(x) for x in fine]), counts.sum(1)
+        counts = np.stack([folded(x, DIMS) for x in fine]).astype(np.int32)
+        dims, size = np.array([len(x) for x in fine]), counts.sum(1, dtype=np.int64)
         order = np.argsort(block, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(block)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -366,7 +367,7 @@ def _tree_pairs(best: int | None):
                     q = folded(fine[i], least)
                     for k in range(0, len(at), 256):
                         some = at[k : k + 256]
-                        bounds[some] = np.minimum(folded(np.stack([fine[j] for j in near[some]]), least), q).sum(1)
+                        bounds[some] = np.minimum(folded(np.stack([fine[j] for j in near[some]]), least), q).sum(1, dtype=np.int64)
                 passed = 9 * bounds >= 4 * (size[i] + size[near])
                 near, bounds = near[passed], bounds[passed] / (size[i] + size[near[passed]])
                 if best is not None and len(near) > best:

@@ -33,8 +33,9 @@ from .textcore import U64, mix, powers, row_slices, string_buffer
 
 MODEL = os.environ.get("TIDEWATER_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 LONG = 48
-#: Bytes of distinct stretches that one suffix array covers.
-INDEXED = 1 << 20
+#: Bytes of distinct stretches that one suffix array covers, and of texts whose stretches are encoded once.
+INDEXED = 1 << 18
+TOGETHER = 8 << 20
 SPACE = "▁"
 UNKNOWN = -2
 _CACHE = 1 << 21
@@ -250,6 +251,11 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For runs of rows: first and last row, ids, each row's first id, and the bytes encoded with offsets."""
         data, offs = string_buffer(column)
+        for a, b in row_slices(offs, TOGETHER):
+            for c, d, *rest in self._encode(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]):
+                yield a + c, a + d, *rest
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple]:
         cut = [(a, b, *_spaced(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs)]
         known, texts, slices = np.zeros(0, U64), [], []
         for _, _, own, at in cut:

@@ -11,11 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: For Python workers: freed arrays go back to the system instead of staying with an idle worker.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "2097152", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the package; a cluster gets it by ``--py-files``."""
+    """Let Python workers of this machine import the package; a cluster gets it by ``--py-files``.
+
+    Also sets how workers return memory, as those of several stages live side by side.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -73,7 +73,7 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return data, offs - offs[0]
 
 
-def row_slices(offs: np.ndarray, limit: int = 4 * WINDOW) -> Iterator[tuple[int, int]]:
+def row_slices(offs: np.ndarray, limit: int = 2 * WINDOW) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes together, or of one longer row."""
     row, n = 0, len(offs) - 1
     while row < n:

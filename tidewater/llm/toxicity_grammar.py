@@ -9,8 +9,9 @@ Documents are scored by their matched clauses, calibrated by a logistic curve.
 
 The closed classes are word lists; of insults a few are listed, and the rest is learned: whole words
 and word beginnings that occur in clearly more toxic documents than chance allows.  The fit uses a
-bounded sample (``SAMPLE_ROWS`` labelled documents), in which near copies count once, three quarters
-for the lexicon and the rest for the calibration.  Scoring reads every clause of every text.
+bounded sample (``SAMPLE_ROWS`` labelled documents), in which near copies count once; the calibration
+scores each of its ``FOLDS`` parts with the lexicon of the others.  Scoring reads every clause of
+every text.
 
 Null and empty texts have no clause and get the score of a text without matches.  Repeated rows are
 scored each, equal texts alike.  Without labels of both kinds the listed words alone decide, with a
@@ -35,8 +36,9 @@ SAMPLE_ROWS = 9000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: What a learned entry needs: log likelihood ratio above the log of the sample's documents, documents, weight.
-EVIDENCE, DOCUMENTS, LEAST = 2.5, 3, 2.0
+EVIDENCE, DOCUMENTS, LEAST = 0.0, 3, 2.0
 ENTRIES = 50_000
+FOLDS = 4
 #: Words over which a negation reaches.
 REACH = 3
 
@@ -132,9 +134,11 @@ def _cut(data: np.ndarray, offs: np.ndarray) -> Words:
     return words(folded(data), offs, ALPHA, _SAME, prefixes=PREFIXES)
 
 
-def _keyed(w: Words) -> list[np.ndarray]:
+def _keyed(w: Words) -> Iterator[np.ndarray]:
     """Keys of every word as a whole and by each beginning (0: too short)."""
-    return [w.hash, *(np.where(w.prefix[p] == 0, U64(0), mix(w.prefix[p] + U64(0x5BF0 + p))) for p in PREFIXES)]
+    yield w.hash
+    for p in PREFIXES:
+        yield np.where(w.prefix[p] == 0, U64(0), mix(w.prefix[p] + U64(0x5BF0 + p)))
 
 
 class Lexicon:
@@ -226,34 +230,41 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(keys[:, k]) for k in range(3))], ["doc_id", "y", "k0", "k1", "k2"])
 
 
-def _counts(toxic_ids: set[int], clean_ids: set[int]):
-    """Documents of each kind that hold a key, summed within batches."""
+def _counts(kinds: dict[int, int]):
+    """Documents of each kind (2 x fold + label) that hold a key, summed within batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offs = string_buffer(batch.column(1))
-            parts: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+            parts: list[list[np.ndarray]] = [[] for _ in range(2 * FOLDS)]
             for a, b in row_slices(offs):
                 w = _cut(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                keys = _keyed(w)
+                keys = list(_keyed(w))
                 for i in range(b - a):
-                    kind = 1 if ids[a + i] in toxic_ids else 0 if ids[a + i] in clean_ids else None
-                    if kind is not None:
+                    if (kind := kinds.get(ids[a + i])) is not None:
                         s = slice(w.first[i], w.first[i + 1])
                         parts[kind].append(np.unique(np.concatenate([k[s] for k in keys])))
-            toxic, t = np.unique(np.concatenate(parts[1] or [np.zeros(0, U64)]), return_counts=True)
-            clean, n = np.unique(np.concatenate(parts[0] or [np.zeros(0, U64)]), return_counts=True)
-            both = np.union1d(toxic, clean)
-            ts, ns = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
-            ts[np.searchsorted(both, toxic)], ns[np.searchsorted(both, clean)] = t, n
-            for k in range(0, len(both), 100_000):
+            found = [np.unique(np.concatenate(p), return_counts=True) if p else (np.zeros(0, U64), np.zeros(0, np.int64)) for p in parts]
+            every = np.unique(np.concatenate([k for k, _ in found]))
+            counts = np.zeros((2 * FOLDS, len(every)), np.int64)
+            for kind, (k, n) in enumerate(found):
+                counts[kind, np.searchsorted(every, k)] = n
+            for k in range(0, len(every), 100_000):
                 s = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(both[s].view(np.int64)), pa.array(ts[s]), pa.array(ns[s])], ["key", "t", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(every[s].view(np.int64)), *(pa.array(c[s]) for c in counts)], ["key", *(f"c{i}" for i in range(2 * FOLDS))])
 
     return run
 
 
+def _strength(t, n, toxic: int, clean: int):
+    """Weight and evidence of a key in t of ``toxic`` and n of ``clean`` documents, as columns."""
+    p = toxic / (toxic + clean)
+    weight = F.log((t + 0.5) / (toxic + 1.0)) - F.log((n + 0.5) / (clean + 1.0))
+    evidence = F.when(t > 0, t * F.log(t / ((t + n) * p))).otherwise(0.0) + F.when(n > 0, n * F.log(n / ((t + n) * (1 - p)))).otherwise(0.0)
+    return weight, F.when((t >= DOCUMENTS) & (weight >= LEAST) & (evidence >= EVIDENCE + float(np.log(toxic + clean))), evidence)
+
+
 def fit(documents: DataFrame, labels: DataFrame, held_out) -> Model:
     """The model of the labelled documents that are not held out."""
     sample = fitting.labelled_sample(documents, labels, "toxic", held_out, SAMPLE_ROWS)
@@ -268,31 +279,41 @@ def fit(documents: DataFrame, labels: DataFrame, held_out) -> Model:
         seen |= keys
     if len(set(kept.values())) < 2:
         return Model({})
-    order = list(kept)
-    learn = set(order[: 3 * len(order) // 4])
-    toxic_ids, clean_ids = {d for d in learn if kept[d]}, {d for d in learn if not kept[d]}
-    t_all, n_all = max(1, len(toxic_ids)), max(1, len(clean_ids))
-    p = t_all / (t_all + n_all)
-    counts = sample.select("doc_id", "text").mapInArrow(_counts(toxic_ids, clean_ids), "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    weight = F.log((F.col("t") + 0.5) / (t_all + 1.0)) - F.log((F.col("n") + 0.5) / (n_all + 1.0))
-    both = F.col("t") + F.col("n")
-    evidence = F.col("t") * F.log(F.col("t") / (both * p)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (both * (1 - p)))).otherwise(0.0)
-    strong = counts.where((F.col("t") >= DOCUMENTS) & (F.col("key") != 0)).withColumns({"w": weight, "e": evidence}).where((F.col("w") >= LEAST) & (F.col("e") >= EVIDENCE + float(np.log(len(learn)))))
-    model = Model({int(np.int64(r.key).view(U64)): float(r.w) for r in strong.orderBy(F.desc("e"), "key").limit(ENTRIES).select("key", "w").collect()})
-    rest = [d for d in order if d not in learn]
-    if min(sum(kept[d] for d in rest), sum(1 - kept[d] for d in rest)) < 10:
-        rest = order
-    features = sample.select("doc_id", "text").mapInArrow(_featured(model), "doc_id long, f0 double, f1 double").dropDuplicates(["doc_id"]).collect()
-    by = {r.doc_id: (r.f0, r.f1) for r in features}
-    model.curve = fitting.logistic(np.array([by[d] for d in rest]), np.array([kept[d] for d in rest]), l2=0.05)
+    kinds = {d: 2 * (i % FOLDS) + y for i, (d, y) in enumerate(kept.items())}
+    size = np.bincount(list(kinds.values()), minlength=2 * FOLDS)
+    columns = [f"c{i}" for i in range(2 * FOLDS)]
+    counts = sample.select("doc_id", "text").mapInArrow(_counts(kinds), "key long, " + ", ".join(f"{c} long" for c in columns)).groupBy("key").agg(*[F.sum(c).alias(c) for c in columns])
+    total = {y: sum((F.col(c) for c in columns[y::2]), F.lit(0)) for y in (0, 1)}
+    picked = [F.col("key")]
+    for fold in (None, *range(FOLDS)):  # all, and all but one fold
+        t, n = (total[y] - F.col(f"c{2 * fold + y}") if fold is not None else total[y] for y in (1, 0))
+        toxic, clean = (int(size[y::2].sum() - (size[2 * fold + y] if fold is not None else 0)) for y in (1, 0))
+        weight, evidence = _strength(t, n, max(1, toxic), max(1, clean))
+        picked.append(F.when(evidence.isNotNull(), F.struct(weight.alias("w"), evidence.alias("e"))).alias("all" if fold is None else f"f{fold}"))
+    strong = counts.where("key <> 0").select(*picked).where(F.coalesce("all", *(f"f{k}" for k in range(FOLDS))).isNotNull())
+    entries = strong.orderBy(F.desc(F.coalesce("all", *(f"f{k}" for k in range(FOLDS)))["e"]), "key").limit(ENTRIES).collect()
+
+    def lexicon(name: str) -> dict[int, float]:
+        return {int(np.int64(r.key).view(U64)): float(r[name].w) for r in entries if r[name] is not None}
+
+    model, others = Model(lexicon("all")), [Model(lexicon(f"f{k}")) for k in range(FOLDS)]
+    found = sample.select("doc_id", "text").mapInArrow(_featured(others, {d: k // 2 for d, k in kinds.items()}), "doc_id long, f0 double, f1 double").dropDuplicates(["doc_id"]).collect()
+    found.sort(key=lambda r: r.doc_id)
+    model.curve = fitting.logistic(np.array([(r.f0, r.f1) for r in found]), np.array([kept[r.doc_id] for r in found]), l2=0.05)
     return model
 
 
-def _featured(model: Model):
+def _featured(models: list[Model], folds: dict[int, int]):
+    """Features of the sampled documents, each by the model that has not seen it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = model.features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["doc_id", "f0", "f1"])
+            fold = np.array([folds.get(d, -1) for d in batch.column(0).to_pylist()], np.int64)
+            for k, model in enumerate(models):
+                own = batch.filter(pa.array(fold == k))
+                if own.num_rows:
+                    f = model.features(own.column(1))
+                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["doc_id", "f0", "f1"])
 
     return run
 
