@@ -7,6 +7,7 @@ so that no result depends on the order of rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,11 +253,22 @@ ORACLE["prepared_params"] = "select c_custkey, c_name from customer where c_nati
 NET = f"{PRICE} * (1 - {DISC})"
 
 
+def cents(c: str):
+    """An amount that isn't negative in whole cents; unlike a cast to a decimal it formats no text."""
+    return F.floor(F.col(c) * 100 + 0.5)
+
+
+def exact_sum(units, scale: int):
+    """The sum of whole 10**-scale units as a double, exact before its last rounding."""
+    return (F.sum(units.cast("decimal(18,0)")) * F.lit(Decimal(1).scaleb(-scale))).cast("double")
+
+
 def pricing_summary(t: Tables) -> DataFrame:
-    net = money("l_extendedprice") * (1 - money("l_discount"))
-    sums = {"sum_qty": money("l_quantity"), "sum_base_price": money("l_extendedprice"), "sum_disc_price": net, "sum_charge": net * (1 + money("l_tax"))}
+    price, disc, tax = cents("l_extendedprice"), cents("l_discount"), cents("l_tax")
+    net = price * (100 - disc)
+    sums = {"sum_qty": (cents("l_quantity"), 2), "sum_base_price": (price, 2), "sum_disc_price": (net, 4), "sum_charge": (net * (100 + tax), 6)}
     kept = t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-12-01").cast("date") - F.expr("interval 90 days"))
-    out = kept.groupBy("l_returnflag", "l_linestatus").agg(*(F.sum(v).cast("double").alias(k) for k, v in sums.items()), F.round(F.sum(money("l_discount")) / F.count("*"), 6).cast("double").alias("avg_disc"), F.count("*").alias("count_order"))
+    out = kept.groupBy("l_returnflag", "l_linestatus").agg(*(exact_sum(*v).alias(k) for k, v in sums.items()), F.round(exact_sum(disc, 2) / F.count("*"), 6).alias("avg_disc"), F.count("*").alias("count_order"))
     return out.orderBy(S.order("l_returnflag"), S.order("l_linestatus"))
 
 
