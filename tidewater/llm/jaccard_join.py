@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import components, tables
-from .textcore import U64, distinct_shingles, mix, mix_int
+from .textcore import U64, distinct_shingles, mix
 
 DIMS = 64
 LEAF = 16
@@ -291,9 +291,8 @@ class CountRTree:
         spread = np.argsort(-points.std(0))[:2] if len(points) else np.array([0, 1])
         self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], self.size))
         self.points = points[self.order]
-        level = [(self.points, self.size[self.order], self.size[self.order])]
-        self.levels = []
-        high, low_n, high_n = level[0]
+        high, low_n, high_n = self.points, self.size[self.order], self.size[self.order]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves' boxes up
         while len(high) > 1 or not self.levels:
             heads = np.arange(0, len(high), LEAF)
             high, low_n, high_n = np.maximum.reduceat(high, heads), np.minimum.reduceat(low_n, heads), np.maximum.reduceat(high_n, heads)
@@ -303,20 +302,17 @@ class CountRTree:
         """Positions of points that may be linked with ``q``: no box or point is left out that could be."""
         n = int(q.sum())
         boxes = np.arange(len(self.levels[-1][0]))
-        for high, low_n, high_n in reversed(self.levels):
+        for k in range(len(self.levels) - 1, -1, -1):
+            high, low_n, high_n = self.levels[k]
             bound = np.minimum(high[boxes], q).sum(1)
-            least = np.maximum(low_n[boxes], 1)
-            keep = (9 * bound >= 4 * (n + least)) & (5 * high_n[boxes] >= 4 * n) & (4 * low_n[boxes] <= 5 * n)
+            keep = (9 * bound >= 4 * (n + np.maximum(low_n[boxes], 1))) & (5 * high_n[boxes] >= 4 * n) & (4 * low_n[boxes] <= 5 * n)
+            below = len(self.levels[k - 1][0]) if k else len(self.points)
             boxes = (boxes[keep][:, None] * LEAF + np.arange(LEAF)).ravel()
-            below = len(self.points) if high is self.levels[0][0] else len(self.levels[self._depth(high) - 1][0])
             boxes = boxes[boxes < below]
         found = self.points[boxes]
         keep = 9 * np.minimum(found, q).sum(1) >= 4 * (n + found.sum(1))
         return self.order[boxes[keep]]
 
-    def _depth(self, high: np.ndarray) -> int:
-        return next(i for i, x in enumerate(self.levels) if x[0] is high)
-
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:

@@ -159,10 +159,12 @@ class Rule:
 
 
 def _rules() -> list[Rule]:
-    out = [Rule(label, keyword, pattern, k, confidence) for k, (label, keyword, pattern, confidence) in enumerate(SIGNATURES[:14])]
-    for form, confidence, prefix, suffix in ((r"spdx licen[cs]e identifier ", 0.99, 1, ""), (GRANT, 0.95, 2, ""), ("", 0.6, 3, "")):
-        out += [Rule(label, keyword, rf"{form}(?:{name}){suffix}", 1000 * prefix + k, confidence) for k, (label, keyword, name) in enumerate(NAMES)]
-    return out + [Rule(label, keyword, pattern, 4000 + k, confidence) for k, (label, keyword, pattern, confidence) in enumerate(SIGNATURES[14:])]
+    """Texts of licenses first, then identifiers, grants and bare names, and loose notices last."""
+    certain = [x for x in SIGNATURES if x[3] >= 0.85]
+    out = [Rule(label, keyword, pattern, k, confidence) for k, (label, keyword, pattern, confidence) in enumerate(certain)]
+    for rank, form, confidence in ((1, r"spdx licen[cs]e identifier ", 0.99), (2, GRANT, 0.95), (3, "", 0.6)):
+        out += [Rule(label, keyword, f"{form}(?:{name})", 1000 * rank + k, confidence) for k, (label, keyword, name) in enumerate(NAMES)]
+    return out + [Rule(label, keyword, pattern, 4000 + k, confidence) for k, (label, keyword, pattern, confidence) in enumerate(x for x in SIGNATURES if x[3] < 0.85)]
 
 
 RULES = _rules()
