@@ -159,6 +159,28 @@ def test_recall(spark):
     assert len(found) == 60 and hits / 300 >= 0.9
 
 
+def test_recall_of_mixed_density(spark):
+    """Near copies in most rows leave the recall of the others as it is."""
+    rng = np.random.default_rng(5)
+    tight = np.repeat(rng.normal(size=(60, 64)), 40, axis=0) + 0.005 * rng.normal(size=(2400, 64))
+    v = rng.permutation(np.concatenate([tight, rng.normal(size=(1600, 64))])).astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in multiprobe_lsh.search(frame, lambda i: i % 40 == 0, 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = {True: [], False: []}
+    for q in range(0, 4000, 40):
+        near, s = brute_neighbours(v, np.arange(4000), q, 5)
+        recall[bool(s[near[-1]] > 0.9)].append(len(set(near) & found.get(q, set())) / 5)
+    assert all(len(x) > 20 and np.mean(x) >= 0.9 for x in recall.values())
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 9 + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
+    found = multiprobe_lsh.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), lambda i: i == 0, 3).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_odd_vectors(spark, folder):
     rows = [tuple(r) for r in multiprobe_lsh.op9(spark, folder).orderBy("query_id", "rank").collect()]
     first = [(r[0], r[1], r[2]) for r in rows if r[0] == 0]

@@ -5,10 +5,12 @@ tables has ``FUNCTIONS`` hashes floor((a x + b) / WIDTH) with Gaussian a.  A que
 buckets of all tables in order of their estimated success: the probability, by the normal law of the
 projected difference, that a neighbour at the expected distance falls into the bucket.  It stops
 where the estimate says that ``SUCCESS`` of such neighbours have been met in some table; where that
-is, is found for each query from synthetic neighbours.  The expected distance is fitted on a bounded
-sample (``SAMPLE`` vectors), in which neighbours are farther than in the whole, so it errs towards
-more probes.  The candidates of all tables are merged and reranked by the exact cosine in double
-precision of the original vectors.
+is, is found for each query from synthetic neighbours.  The expected distance is each query's own:
+that of its k-th neighbour in a bounded sample (``SAMPLE`` vectors), which is never nearer than the
+one in the whole, so it errs towards more probes.  A query that has fewer than k others in the
+sample visits all rows, and so does, in a second pass, one that has not met k rows at its expected
+distance or nearer.  The candidates of all tables are merged and reranked by the exact cosine in
+double precision of the original vectors.
 
 Every row is indexed.  Queries go in blocks of at most ``QUERIES`` through all rows (each block is
 broadcast, so its size is bounded), and each task keeps the best of each query; nothing is shuffled
@@ -47,12 +49,10 @@ _LAW = np.array([NormalDist().cdf(x) for x in _GRID])
 class Hashes:
     """The tables' projections, and the estimated success of buckets for a query."""
 
-    def __init__(self, dims: int, similarity: float):
+    def __init__(self, dims: int):
         rng = np.random.default_rng(SEED)
         self.a = rng.normal(size=(dims, TABLES * FUNCTIONS))
         self.b = rng.uniform(0, WIDTH, TABLES * FUNCTIONS)
-        self.similarity = min(max(similarity, 0.0), 0.999)
-        self.spread = (2 - 2 * self.similarity) ** 0.5
         self.noise = rng.normal(size=(SYNTHETIC, dims))
 
     def project(self, unit: np.ndarray) -> np.ndarray:
@@ -61,21 +61,21 @@ class Hashes:
     def codes(self, unit: np.ndarray) -> np.ndarray:
         return np.floor(self.project(unit) / WIDTH).astype(np.int64)
 
-    def cells(self, projected: np.ndarray, low: int, high: int) -> np.ndarray:
+    def cells(self, projected: np.ndarray, similarity: np.ndarray, low: int, high: int) -> np.ndarray:
         """Log probability of each cell low..high of each hash, for each query: (query, hash, cell)."""
-        edges = np.arange(low, high + 2) * WIDTH
-        law = np.interp((edges - projected[..., None]) / self.spread, _GRID, _LAW)
+        edges, spread = np.arange(low, high + 2) * WIDTH, (2 - 2 * similarity) ** 0.5
+        law = np.interp((edges - projected[..., None]) / spread[:, None, None], _GRID, _LAW)
         return np.log(np.maximum(np.diff(law, axis=-1), 1e-12))
 
-    def limits(self, unit: np.ndarray) -> np.ndarray:
+    def limits(self, unit: np.ndarray, similarity: np.ndarray) -> np.ndarray:
         """The least estimate that each query still visits."""
         out = np.empty(len(unit))
-        for i, q in enumerate(unit):
+        for i, (q, s) in enumerate(zip(unit, similarity, strict=True)):
             side = self.noise - np.outer(self.noise @ q, q)
             side /= np.linalg.norm(side, axis=1, keepdims=True)
-            near = self.codes(self.similarity * q + (1 - self.similarity**2) ** 0.5 * side)
+            near = self.codes(s * q + (1 - s**2) ** 0.5 * side)
             low, high = int(near.min()), int(near.max())
-            cell = self.cells(self.project(q[None]), low, high)[0]
+            cell = self.cells(self.project(q[None]), np.array([s]), low, high)[0]
             each = cell[np.arange(TABLES * FUNCTIONS), near - low]
             out[i] = np.quantile(each.reshape(-1, TABLES, FUNCTIONS).sum(2).max(1), 1 - SUCCESS)
         return out
@@ -97,9 +97,9 @@ class Block:
             _, at, bucket = np.unique(key, return_index=True, return_inverse=True)
             self.tables.append((own[at], bucket))
 
-    def candidates(self, hashes: Hashes, projected: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    def candidates(self, hashes: Hashes, projected: np.ndarray, similarity: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Which rows each query meets in the buckets that it visits: (query, row)."""
-        cell = hashes.cells(projected, self.low, self.high)
+        cell = hashes.cells(projected, similarity, self.low, self.high)
         met = np.zeros((len(projected), len(self.ids)), dtype=bool)
         for t, (buckets, bucket) in enumerate(self.tables):
             estimate = sum(cell[:, t * FUNCTIONS + j][:, buckets[:, j]] for j in range(FUNCTIONS))
@@ -114,7 +114,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best(hashes: Hashes, queries, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw, limit = queries.value
+        ids, raw, similarity, limit = queries.value
         vectors = raw.astype(np.float64)
         unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
         projected = hashes.project(unit)
@@ -126,12 +126,15 @@ def _best(hashes: Hashes, queries, k: int):
                 block = Block(hashes, part.column(0).to_numpy(), flat.reshape(part.num_rows, -1))
                 for c in range(0, len(ids), CHUNK):
                     s = slice(c, c + CHUNK)
-                    met = block.candidates(hashes, projected[s], limit[s]) & (block.ids != ids[s, None])
+                    met = block.candidates(hashes, projected[s], similarity[s], limit[s]) & (block.ids != ids[s, None])
                     rows = np.flatnonzero(met.any(0))
                     if not len(rows):
                         continue
                     near = np.where(met[:, rows], unit[s] @ block.unit[rows].T, -9.0)
-                    cut = np.partition(near, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(near), -8.0)
+                    by = np.argsort(block.ids[rows], kind="stable")
+                    heads = np.flatnonzero(np.diff(block.ids[rows][by], prepend=block.ids[rows][by[0]] - 1))
+                    each = near if len(heads) == len(rows) else np.maximum.reduceat(near[:, by], heads, axis=1)
+                    cut = np.partition(each, -k, axis=1)[:, -k] if each.shape[1] > k else np.full(len(near), -8.0)
                     q, r = np.nonzero((near >= cut[:, None] - SLACK) & (near > -8))
                     r = rows[r]
                     held.append(_top(ids[s][q], block.ids[r], cosine(vectors[s][q], block.vectors[r]), k))
@@ -166,13 +169,23 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return rows.where(F.size("vector") == (dims.d if dims else 0))
 
 
-def expected_similarity(sample: np.ndarray, k: int) -> float:
-    """The median cosine of a sampled vector's k-th neighbour in the sample."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    near = unit @ unit.T
-    np.fill_diagonal(near, -9)
-    k = min(k, len(unit) - 1)
-    return float(np.median(np.partition(near, -k, axis=1)[:, -k])) if k > 0 else 0.0
+def expected_similarity(ids: np.ndarray, unit: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """The cosine of each query's k-th neighbour in the sample; minus infinity where it has fewer."""
+    _, once = np.unique(sample_ids, return_index=True)
+    sample_ids, sample = sample_ids[once], sample[once] / np.linalg.norm(sample[once], axis=1, keepdims=True)
+    out = np.full(len(ids), -np.inf)
+    if len(sample) >= k:
+        for a in range(0, len(ids), ROWS):
+            s = slice(a, a + ROWS)
+            near = np.where(ids[s, None] == sample_ids, -np.inf, unit[s] @ sample.T)
+            out[s] = np.partition(near, -k, axis=1)[:, -k]
+    return out
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, is_query, k: int, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -183,8 +196,8 @@ def search(vectors: DataFrame, is_query, k: int, id_column: str = "vec_id", colu
     picked = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).toArrow()
     if not picked.num_rows:
         return empty
-    sample = _matrix(picked)
-    hashes = Hashes(sample.shape[1], expected_similarity(sample, k))
+    sample_ids, sample = picked["id"].to_numpy(), _matrix(picked)
+    hashes = Hashes(sample.shape[1])
     asking = rows.where(is_query(F.col("id")))
     blocks = max(1, -(-asking.count() // (QUERIES // 2)))  # hashing deals unevenly, but never twice as many
     found = None
@@ -192,16 +205,24 @@ def search(vectors: DataFrame, is_query, k: int, id_column: str = "vec_id", colu
         own = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).groupBy("id").agg(F.min("vector").alias("vector")).toArrow()
         if not own.num_rows:
             continue
-        raw = _matrix(own)
-        limit = hashes.limits(raw / np.linalg.norm(raw, axis=1, keepdims=True))
-        queries = spark.sparkContext.broadcast((own["id"].to_numpy(), raw, limit))
-        part = rows.mapInArrow(_best(hashes, queries, k), "query_id long, vec_id long, score double")
+        ids, raw = own["id"].to_numpy(), _matrix(own)
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        expected = expected_similarity(ids, unit, sample_ids, sample, k)
+        similarity = np.clip(expected, -1.0, 0.999)
+        limit = np.where(np.isfinite(expected), hashes.limits(unit, similarity), -np.inf)
+
+        def best(some: np.ndarray, limit: np.ndarray) -> DataFrame:
+            queries = spark.sparkContext.broadcast((ids[some], raw[some], similarity[some], limit))
+            return tables.stored(rows.mapInArrow(_best(hashes, queries, k), "query_id long, vec_id long, score double"), "near")
+
+        part = best(np.arange(len(ids)), limit)
+        kth = _ranked(part, k).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        met = dict(zip(kth["query_id"].to_pylist(), kth["score"].to_pylist(), strict=True))
+        short = np.flatnonzero([met.get(i, -np.inf) < e - SLACK for i, e in zip(ids.tolist(), expected, strict=True)])
+        if len(short):
+            part = part.unionByName(best(short, np.full(len(short), -np.inf)))
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return empty if found is None else _ranked(found, k)
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
