@@ -8,7 +8,8 @@ written as Parquet and read again as the next one's docs.  All but the last retu
 2. toxicity: documents that the clause grammar scores at its threshold or above go.
 3. near_duplicates: of each component of near copies the document with the smallest id stays.
    Documents without an id cannot be named and stay; of several rows with one id, one stays.
-4. mixing: each document is repeated as often as the mix of its source takes it, perhaps not at all.
+4. mixing: each row is repeated as often as the mix of its source takes it, perhaps not at all; the
+   copies are sorted by their shard and shuffled inside it.
 5. sentencepiece: each row's encoding, as counts and a digest, with the check that it decodes back.
 """
 
@@ -20,10 +21,6 @@ from pyspark.sql import functions as F
 from tidewater.llm import jaccard_join, quality_crf, source_mixing, suffix_pieces, tables, toxicity_grammar
 
 
-#: A column of our own beside the documents', whatever those are called.
-COPIES = "tidewater copies"
-
-
 def _schema(docs: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -49,9 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
-    planned, _ = source_mixing.plan(docs)
-    copies = tables.stored(planned.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(COPIES)), "copies")
-    return docs.join(tables.narrow(copies), "doc_id").withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(*docs.columns)
+    return source_mixing.mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

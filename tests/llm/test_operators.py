@@ -138,6 +138,39 @@ def test_mix(spark):
     assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in planned)
 
 
+def test_dealt_rows(spark, tmp_path):
+    """op4's rows and the pipeline's mix are the tree's draws."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), "en", rng.choice(["a", "b", "c", None]), i) for i in range(2000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    out = source_mixing.mixed(documents).orderBy("shard", "sort_key").collect()
+    _, draws = source_mixing.plan(documents)
+    source = {i: s for i, _, _, s, _ in rows}
+    ranges = {(r.of, r.shard): (r.low, r.high) for r in draws.collect()}
+    op4 = source_mixing.op4(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, c, s) for r in op4 for c, s in enumerate(r.shards)) == sorted((r.doc_id, r["copy"], r.shard) for r in out)
+    for r in op4:
+        assert r.copies == len(r.shards) and r.taken == r.copies * r["size"]
+        assert all(low <= c * source_mixing.BINS + r.block < high for c, s in enumerate(r.shards) for low, high in [ranges[source[r.doc_id], s]])
+    assert [r.doc_id for r in corpus_pipeline.mixing(spark, documents, "").collect()] == [r.doc_id for r in out]
+
+
+def test_mix_carries_every_row(spark):
+    """Rows without an id and rows that share one are mixed by what they are, up to a document of the target."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, i, i % 50]), f"t{i} " + " ".join(["w"] * rng.randrange(0, 59)), rng.choice(["a", "b", None])) for i in range(1500)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.mixing(spark, documents, "").collect()
+    planned = source_mixing.plan(documents)[0].collect()
+    taken = {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert all(abs(taken.get(r.source, 0) - r.target) <= 60 for r in planned)
+    assert set(out) <= set(documents.collect())
+    assert sum(r.doc_id is None for r in out) == sum(r.copies for r in planned if r.doc_id is None) > 300
+
+
 def brute_neighbours(v, ids, i, k):
     s = (v @ v[i]) / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]))
     return [j for j in np.lexsort((ids, -s)) if j != i][:k], s

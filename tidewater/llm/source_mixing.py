@@ -14,11 +14,12 @@ Blocks are the unit in which shards get their parts.  A binary tree over the out
 exact quotas: at each node the left half's blocks of each source are a multivariate hypergeometric
 draw from the node's, so every shard gets the same number of blocks, up to one, and the shards' mixes
 vary only as drawing without replacement does.  A source's draws, numbered pass by pass in the
-permuted order, go to the shards in turn by these counts, which are disjoint ranges; inside its shard
-a document copy has a random sort key.  Every draw is a function of the seed, so reruns agree.
+permuted order, go to the shards in turn by these counts, which are disjoint ranges, so each document
+row has a shard for each of its copies; inside its shard a document copy has a random sort key.
+Every draw is a function of the seed, so reruns agree.
 
 Null texts have size 0.  A document of size 0 is taken with the blocks before the cut.  The null
-source comes last.  Repeated rows count each; rows equal in id and size are ranked arbitrarily, but
+source comes last.  Documents without an id have their place by their text.  Repeated rows count each; rows equal in id and size are ranked arbitrarily, but
 are interchangeable.  Sources of no words, and empty tables, have target 0 and nothing is taken.
 Sources are a catalogue: one row each is held by the driver.  Extra columns stay out of the plan.
 """
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tables
 from .textcore import word_counts
@@ -45,13 +47,23 @@ SEED = 20240607
 
 def _sizes(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_counts(batch.column(2)))], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(word_counts(batch.column(2))), *batch.columns[3:]], ["doc_id", "source", "size", *batch.schema.names[3:]])
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Rows of doc_id, source, text and others, with the text's size in its place."""
+    return rows.mapInArrow(_sizes, T.StructType([*rows.schema.fields[:2], T.StructField("size", T.LongType()), *rows.schema.fields[3:]]))
+
+
+def _placed(documents: DataFrame, seed: int, *others) -> DataFrame:
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *others)
+    return rows.withColumn("place", F.shiftrightunsigned(key, 4))
 
 
 def sized(documents: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, size and the document's place in its source's permutation, 0 to 2**60."""
-    sizes = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_sizes, "doc_id long, source string, size long")
-    return sizes.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 4))
+    return _measured(_placed(documents, seed))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -98,11 +110,10 @@ def _same(a: str, b: str):
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def plan(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws): every document row with size, source_size, target, copies, block, and
-    every block draw (source, draw, shard) in the order in which the source's blocks are drawn."""
-    spark = documents.sparkSession
-    docs = tables.stored(sized(documents, seed), "sizes")
+def _dealt(docs: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sources, draws) of stored sizes: each source's target and cut with its shards' ranges of draws,
+    and these ranges as rows (source, shard, low, high)."""
+    spark = docs.sparkSession
     rows = docs.groupBy("source").agg(F.sum("size").alias("n")).collect()
     goal = targets([(r["source"], r["n"]) for r in rows])
     size = {r["source"]: r["n"] for r in rows}
@@ -125,26 +136,48 @@ def plan(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[
         cut = picked.select("source", *bound, F.col("x.bin").alias(f"cut{level}"), F.col("x.left").alias("rest"))
         bound = [*bound, f"cut{level}"]
         cut = tables.stored(cut, "cut")
-    cut = cut.select(F.col("source").alias("cut_source"), *bound, F.col("rest").alias("inside"))
+    cuts = {r["source"]: (sum(r[c] * BINS ** (2 - k) for k, c in enumerate(bound)), r["rest"]) for r in cut.collect()}
 
-    named = docs.join(sources.select(F.col("source").alias("own"), "source_size", "target", "whole"), F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
-    named = named.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    code = sum((_bin(k).cast("long") * F.lit(BINS ** (2 - k)) for k in range(3)), F.lit(0).cast("long"))
-    edge = sum((F.col(f"cut{k}").cast("long") * F.lit(BINS ** (2 - k)) for k in range(3)), F.lit(0).cast("long"))
-    named = named.withColumns({"block": _bin(0), "side": F.coalesce(F.signum((code - edge).cast("double")), F.lit(1.0)).cast("int")})
-    # documents of the cut's last bin, 2**-30 of a source: the front ones whose middle is before the cut
-    edge_docs = named.where("side = 0").withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    edge_docs = edge_docs.withColumn("extra", (F.col("sum") - F.col("size") / 2 < F.col("inside")).cast("int")).drop("sum")
-    rest_docs = named.where("side <> 0").withColumn("extra", (F.col("side") < 0).cast("int"))
-    planned = rest_docs.unionByName(edge_docs).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), "whole", "block")
-
-    edges = {r["cut_source"]: r["cut0"] for r in cut.select("cut_source", "cut0").collect()}
     order = sorted(goal, key=lambda s: (s is None, (s or "").encode()))
-    quota = np.array([whole[s] * BINS + edges.get(s, -1) + 1 for s in order], np.int64)
+    quota = np.array([whole[s] * BINS + (cuts[s][0] // BINS**2 if s in cuts else -1) + 1 for s in order], np.int64)
     counts = split(quota, shards, seed)
     ends = np.cumsum(counts, axis=0)
-    draws = spark.createDataFrame([(s, j, int(ends[j, i] - counts[j, i]), int(ends[j, i])) for i, s in enumerate(order) for j in range(shards) if counts[j, i]], "of string, shard int, low long, high long")
-    return planned, draws
+    ranges = {s: [(j, int(ends[j, i] - counts[j, i]), int(ends[j, i])) for j in range(shards) if counts[j, i]] for i, s in enumerate(order)}
+    draws = spark.createDataFrame([(s, *x) for s in order for x in ranges[s]], "of string, shard int, low long, high long")
+    schema = "of string, source_size long, target double, whole int, edge long, inside double, ranges array<struct<shard: int, low: long, high: long>>"
+    return spark.createDataFrame([(s, size[s], float(goal[s]), whole[s], *cuts.get(s, (None, None)), ranges[s]) for s in order], schema), draws
+
+
+def _assigned(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Placed rows, all they hold carried along, with source_size, target, copies, block and shards.
+
+    Only rows at the cut need their size; those that still have their text are measured there.
+    """
+    named = rows.join(F.broadcast(sources), _same("source", "of"), "left").drop("of")
+    code = sum((_bin(k).cast("long") * F.lit(BINS ** (2 - k)) for k in range(3)), F.lit(0).cast("long"))
+    named = named.withColumns({"block": _bin(0), "side": F.coalesce(F.signum((code - F.col("edge")).cast("double")), F.lit(1.0)).cast("int")})
+    # documents of the cut's last bin, 2**-30 of a source: the front ones whose middle is before the cut
+    edge, rest = named.where("side = 0"), named.where("side <> 0")
+    if "size" not in rows.columns:
+        edge, rest = _measured(edge), rest.drop("text").withColumn("size", F.lit(None).cast("long"))
+    edge = edge.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.withColumn("extra", (F.col("sum") - F.col("size") / 2 < F.col("inside")).cast("int")).drop("sum")
+    both = rest.withColumn("extra", (F.col("side") < 0).cast("int")).unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
+
+    def shard(copy):
+        draw = copy.cast("long") * BINS + F.col("block")
+        return F.filter("ranges", lambda x: (x["low"] <= draw) & (draw < x["high"]))[0]["shard"]
+
+    shards = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1), shard)).otherwise(F.array().cast("array<int>"))
+    return both.withColumn("shards", shards).drop("edge", "inside", "ranges", "side", "extra")
+
+
+def plan(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(documents, draws): every document row with size, source_size, target, copies, block and the
+    shard of each copy, and every source's draws by shard in the order in which its blocks are drawn."""
+    docs = tables.stored(sized(documents, seed), "sizes")
+    sources, draws = _dealt(docs, shards, seed)
+    return _assigned(docs, sources).select("doc_id", "source", "size", "source_size", "target", "copies", "whole", "block", "place", "shards"), draws
 
 
 def _all(conditions: list):
@@ -159,13 +192,23 @@ def mixed(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
     Written partitioned by shard and sorted by sort_key within, it is the shuffled output.
     """
-    planned, draws = plan(documents, shards, seed)
-    copies = planned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    numbered = copies.withColumn("draw", F.col("copy").cast("long") * BINS + F.col("block"))
-    placed = numbered.join(draws, F.col("source").eqNullSafe(F.col("of")) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")))
-    return placed.select("doc_id", "source", "size", "copy", "shard", F.xxhash64("doc_id", "copy", F.lit(seed + 1)).alias("sort_key"))
+    planned, _ = plan(documents, shards, seed)
+    return _copies(planned, seed, "doc_id", "source", "size").select("doc_id", "source", "size", "copy", "shard", "sort_key")
+
+
+def _copies(planned: DataFrame, seed: int, *columns: str) -> DataFrame:
+    copies = planned.select(*columns, "place", F.posexplode("shards").alias("copy", "shard"))
+    return copies.withColumn("sort_key", F.xxhash64("place", "copy", F.lit(seed + 1)))
+
+
+def mixed_documents(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix as whole rows: each document row as often as it is taken, by shard and, inside it, by sort key."""
+    sources, _ = _dealt(tables.stored(sized(documents, seed), "sizes"), shards, seed)
+    planned = _assigned(_placed(documents, seed, F.struct("*").alias("row")), sources)
+    return _copies(planned, seed, "row").orderBy("shard", "sort_key").select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned, _ = plan(tables.read(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "block")
+    dealt = F.size("shards")
+    return planned.select("doc_id", "size", "source_size", "target", (dealt * F.col("size")).alias("taken"), dealt.alias("copies"), "block", "shards")
