@@ -7,7 +7,8 @@ written as Parquet and read again as the next one's docs.  All but the last retu
 1. quality: documents that the line classifier scores below its threshold go.
 2. toxicity: documents that the clause grammar scores at its threshold or above go.
 3. near_duplicates: of each component of near copies the document with the smallest id stays.
-   Documents without an id cannot be named and stay; of several rows with one id, one stays.
+   Documents with an id come before those without; of a component of only the latter one stays.
+   Texts without words are copies of nothing and stay; of several rows with one id, one stays.
 4. mixing: each row is repeated as often as the mix of its source takes it, perhaps not at all; the
    copies are sorted by their shard and shuffled inside it.
 5. sentencepiece: each row's encoding, as counts and a digest, with the check that it decodes back.
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from tidewater.llm import jaccard_join, quality_crf, source_mixing, suffix_pieces, tables, toxicity_grammar
 
 
+#: A column of our own beside the documents', whatever those are called.
+HANDLE = "tidewater handle"
+
+
 def _schema(docs: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -38,10 +43,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
     found = jaccard_join.near_duplicates(docs)
-    first = tables.stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "first")
-    single = docs.join(tables.narrow(first.where("rows = 1").select("doc_id")), "doc_id", "left_semi")
-    repeated = docs.join(tables.narrow(first.where("rows > 1").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    texts = tables.stored(found.groupBy("label", "doc_id", "handle").agg(F.count("*").alias("rows")), "texts")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle", "rows")).alias("x")
+    kept = tables.stored(texts.where("label is not null").groupBy("label").agg(least).select("x.*"), "kept")
+    named = kept.where("not unnamed").drop("unnamed").unionByName(texts.where("label is null and doc_id is not null").drop("label"))
+    named = named.groupBy("doc_id").agg(F.min(F.struct("handle", "rows")).alias("x")).select("doc_id", "x.*")
+    bare = texts.where("label is null and doc_id is null").select("doc_id", "handle", F.lit(1).cast("long").alias("rows"))
+    first = tables.stored(named.unionByName(kept.where("unnamed").drop("unnamed")).unionByName(bare), "first")
+    docs_by = docs.withColumn(HANDLE, F.xxhash64(F.col("text").cast("string")))
+
+    def rows(which: str) -> DataFrame:
+        own = tables.narrow(first.where(which).select(F.col("doc_id").alias("own id"), F.col("handle").alias("own handle")))
+        return docs_by.join(own, F.col("doc_id").eqNullSafe(F.col("own id")) & (F.col(HANDLE) == F.col("own handle")), "left_semi")
+
+    return rows("rows = 1").unionByName(rows("rows > 1").dropDuplicates(["doc_id", HANDLE])).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -308,3 +308,19 @@ def test_documents_without_an_id_link_others(spark):
     texts = [(1, " ".join(left)), (None, " ".join(middle)), (None, " ".join(middle)), (3, " ".join(right)), (None, "quite alone here"), (3, "another text of that id")]
     rows = jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.component_id, r.n_shingles) for r in rows), key=repr) == sorted([(1, 1, 52), (None, 1, 56), (None, 1, 56), (3, 1, 52), (None, None, 1), (3, 3, 1)], key=repr)
+
+
+def test_near_duplicates_without_an_id(spark, folder):
+    """One row of each component stays, with or without an id, and the pipeline keeps rows without one."""
+    words = [f"w{i}" for i in range(60)]
+    named, alone, other = " ".join(words), " ".join(words[::-1]), "of another kind altogether"
+    rows = [(4, named), (2, named + " end"), (None, named), (None, named + " end"), (None, alone), (None, alone), (None, alone + " end"), (3, other), (3, named), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(x for x in got if x[0]) == [(2, named + " end"), (3, other)]
+    assert sum(t in (alone, alone + " end") for _, t in got) == 1 and sum(i is None and not t for i, t in got) == 3 and len(got) == 6
+    unnamed = spark.createDataFrame(corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), folder).collect(), docs.schema)
+    assert unnamed.count() == 5
+    copies = sum(r.copies for r in source_mixing.plan(unnamed)[0].collect())
+    assert corpus_pipeline.mixing(spark, unnamed, folder).where("doc_id is null").count() == copies > 0

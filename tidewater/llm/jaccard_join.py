@@ -410,7 +410,8 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (identity of the shingle set) of every document row."""
+    """doc_id, n_shingles, component_id, node (identity of the shingle set), handle (hash of the text)
+    and label (identity of the component, null without shingles) of every document row."""
     spark: SparkSession = documents.sparkSession
     parts = tables.shuffle_partitions(spark)
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("handle", F.xxhash64("text"))
@@ -436,9 +437,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             labels = tables.stored(components.connected(links), "labels")
     # a node outside all links is its own component, named by its smallest document
     least = labels.join(names, "node").groupBy("label").agg(F.min("doc_id").alias("least"))
-    of_node = names.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    return nodes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    of_node = names.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("label"))
+    return nodes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "handle", "label")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(tables.read(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(tables.read(spark, sf_dir, "documents")).drop("node", "handle", "label")
