@@ -178,6 +178,15 @@ def test_csv(spark, db, tmp_path):
     assert sorted(r[0] for r in csvio.read_csv(spark, str(tmp_path / "out")).collect()) == [4, 6]
 
 
+def test_csv_types_come_from_all_rows(spark, db, tmp_path):
+    file = tmp_path / "long.csv"
+    file.write_text("n,late,money\n" + "".join(f'{i},{i},"$1,000"\n' for i in range(1500)) + '1500,1.5,(20)\n1501,2.5,5%\n1502,,7\n')
+    assert csvio.infer_schema(spark, str(file)) == {"n": "bigint", "late": "double", "money": "bigint"}
+    assert csvio.ingest_csv(db, str(file), "long") == 1503
+    got = db.sql("select count(late), sum(late), sum(money) from long").collect()[0]
+    assert tuple(got) == (1502, sum(range(1500)) + 4.0, 1500 * 1000 - 20 + 5 + 7)
+
+
 def test_plan_graph(spark):
     graph = plan_graph(spark.range(5).where("id > 1").groupBy("id").count())
     assert graph.edges and "digraph" in graph.to_dot() and '"operator"' in graph.to_json()

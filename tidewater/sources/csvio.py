@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 1000
 _INTEGER, _NUMBER = r"^[+-]?\d{1,18}$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _number(c: str) -> Column:
+    """A column's text without what numbers are dressed in: spaces, $ , % and parentheses for minus."""
+    value = F.regexp_replace(F.trim(F.col(f"`{c}`")), r"^\((.+)\)$", "-$1")
+    return F.regexp_replace(value, "[$,%\ufeff\u00a0]", "")
 
 
 def _text(spark: SparkSession, path: str, header: bool, delimiter: str, null_token: str | None) -> DataFrame:
@@ -14,15 +20,15 @@ def _text(spark: SparkSession, path: str, header: bool, delimiter: str, null_tok
     return spark.read.options(**options, **({"nullValue": null_token} if null_token is not None else {})).csv(path)
 
 
-def infer_schema(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", null_token: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict[str, str]:
-    """Types of the columns from the first ``sample_rows`` rows: bigint, double or string.
+def infer_schema(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", null_token: str | None = None) -> dict[str, str]:
+    """Types of the columns from all rows: bigint, double or string.
 
-    A column is numeric if all its values in the sample are, spaces around them aside.
+    A column is numeric if all its values are, aside from what ``_number`` takes off.
     """
-    rows = _text(spark, path, header, delimiter, null_token).limit(sample_rows)
+    rows = _text(spark, path, header, delimiter, null_token)
     checks = []
     for i, c in enumerate(rows.columns):
-        value = F.trim(F.col(f"`{c}`"))
+        value = _number(c)
         checks += [F.count(value).alias(f"n{i}"), F.count_if(value.rlike(_INTEGER)).alias(f"i{i}"), F.count_if(value.rlike(_NUMBER)).alias(f"d{i}")]
     found = rows.agg(*checks).first()
     kinds = {}
@@ -33,11 +39,18 @@ def infer_schema(spark: SparkSession, path: str, header: bool = True, delimiter:
 
 
 def read_csv(spark: SparkSession, path: str, schema: dict[str, str] | None = None, header: bool = True, delimiter: str = ",", null_token: str | None = None) -> DataFrame:
-    """A CSV file or folder with inferred or given types; a value that isn't of its type is NULL."""
+    """A CSV file or folder with inferred or given types; a value that isn't of its given type is NULL."""
     rows = _text(spark, path, header, delimiter, null_token)
     kinds = schema or infer_schema(spark, path, header, delimiter, null_token)
     names = list(kinds)
-    return rows.toDF(*names).select(*[(F.col(f"`{c}`") if k == "string" else F.trim(F.col(f"`{c}`")).try_cast(k)).alias(c) for c, k in kinds.items()])
+
+    def typed(c: str, kind: str) -> Column:
+        if kind == "string":
+            return F.col(f"`{c}`")
+        value = _number(c) if kind.startswith(_NUMERIC) else F.trim(F.col(f"`{c}`"))
+        return value.try_cast(kind) if schema else value.cast(kind)
+
+    return rows.toDF(*names).select(*[typed(c, k).alias(c) for c, k in kinds.items()])
 
 
 def ingest_csv(session, path: str, table: str, mapping: dict[str, str] | None = None, **options) -> int:
