@@ -7,11 +7,12 @@ one the labels of the lines are hidden, so training maximises the likelihood wit
 posterior, shifted towards bad, as their target.  A document's quality is the mean of its lines'
 forward-backward marginals weighted by length, calibrated on the same sample by a logistic curve.
 
-The fit uses a bounded sample (``SAMPLE_ROWS`` labelled documents, of each its first ``SAMPLE_LINES``
-lines); scoring reads every line of every text.
+The fit uses a bounded sample (``SAMPLE_ROWS`` labelled documents, whole, of ``fitting.SAMPLE_BYTES``
+together, a line counting as ``LINE_COST`` more); scoring reads every line of every text.
 
-Null and empty texts count as one empty line and get the score of that; so do texts of line feeds
-only.  Repeated rows are scored each, equal texts alike.  Without usable labels, or with labels of
+Null and empty texts count as one empty line and get the score of that; texts of line feeds only are so
+many empty lines.  Very long texts are read whole, a text at a time.  Repeated rows are scored each,
+equal texts alike; a score equal to the threshold is good.  Without usable labels, or with labels of
 one kind only, the score is their share of good ones (0.5 without any).  Extra columns are ignored.
 """
 
@@ -30,7 +31,8 @@ from .fitting import sigmoid
 from .textcore import LOWER, SPACED, U64, mix, row_slices, string_buffer, words
 
 SAMPLE_ROWS = 4000
-SAMPLE_LINES = 256
+#: What a line of the sample costs beside its bytes: its features on the driver.
+LINE_COST = 256
 THRESHOLD = 0.3
 ROUNDS = 60
 #: How much a bad document's lines lean to bad while their labels are hidden.
@@ -71,7 +73,7 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         else:
             _, at = np.unique(mix(w.hash + line.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)
             distinct = np.bincount(line[at], minlength=len(start))
-        x[:, 7] = 1 - distinct / np.maximum(count, 1)
+        x[:, 7] = (count - distinct) / np.maximum(count, 1)
         x[:, 8] = np.minimum(np.bincount(line, weights=w.length, minlength=len(start)) / np.maximum(count, 1) / 20, 2)
     x[:, 9] = size == 0
     x[:, 10] = np.log1p(size) / 8
@@ -176,15 +178,19 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b in row_slices(offs):
             x, size, first = line_features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             for i in range(b - a):
-                s = slice(first[i], min(first[i + 1], first[i] + SAMPLE_LINES))
+                s = slice(first[i], first[i + 1])
                 xs.append(x[s].tobytes())
                 sizes.append(size[s].astype(np.int64).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(xs, pa.binary()), pa.array(sizes, pa.binary())], ["y", "x", "size"])
 
 
+def _cost(text):
+    return F.octet_length(text) + LINE_COST * (1 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))
+
+
 def fit(documents: DataFrame, labels: DataFrame, held_out) -> Model:
     """The model of the labelled documents that are not held out."""
-    sample = fitting.labelled_sample(documents, labels, "quality", held_out, SAMPLE_ROWS)
+    sample = fitting.labelled_sample(documents, labels, "quality", held_out, SAMPLE_ROWS, _cost)
     rows = sample.select("text", "y", "doc_id").orderBy("doc_id", "text").select("text", "y").mapInArrow(_sample_lines, "y int, x binary, size binary").collect()
     y = np.array([r.y for r in rows], np.int64)
     model = Model(float(y.mean()) if len(y) else 0.5)

@@ -1,21 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become class symbols by a lexicon transducer: insult, threat, target, negation, reported
-speech, or other.  Three small transducers then rewrite the symbols of a clause: one marks insults
-and threats within reach of a negation, one those after a verb of reported speech, one those aimed at
-a target before or after.  They are composed into one machine, whose last part weighs each marked
-symbol.  A clause's score is the sum over its matches of the lexicon's weight times the machine's.
-Documents are scored by their matched clauses, calibrated by a logistic curve.
+speech, or other.  A transducer that reads a clause from its end marks insults and threats with a
+target after them.  Three more, composed into one machine that reads from the start, mark those within
+reach of a negation, those after a verb of reported speech and those with a target before them, and
+the machine's last part weighs each marked symbol: aimed insults and threats count in full, bare ones a
+fraction, negated and reported ones less again.  A clause's score is the sum over its matches of the
+lexicon's weight times the machine's.  Documents are scored by their clauses, calibrated by a logistic
+curve; clauses of a batch advance through the machines together, word by word.
 
 The closed classes are word lists; of insults a few are listed, and the rest is learned: whole words
 and word beginnings that occur in clearly more toxic documents than chance allows.  The fit uses a
-bounded sample (``SAMPLE_ROWS`` labelled documents), in which near copies count once; the calibration
-scores each of its ``FOLDS`` parts with the lexicon of the others.  Scoring reads every clause of
-every text.
-
-Null and empty texts have no clause and get the score of a text without matches.  Repeated rows are
-scored each, equal texts alike.  Without labels of both kinds the listed words alone decide, with a
-fixed curve.  Extra columns are ignored.
+bounded sample (``SAMPLE_ROWS`` labelled documents of ``fitting.SAMPLE_BYTES`` together), in which
+texts that share a good part of their word triples count once; the calibration scores each of its
+``FOLDS`` parts with the lexicon of the others.  Scoring reads every clause of every text.
+
+Null and empty texts have no clause and get the score of a text without matches.  Very long texts are
+read whole, in pieces of bounded size that end between words.  Repeated rows are scored each, equal
+texts alike; a score equal to the threshold is toxic.  Without labels of both kinds the listed words
+alone decide, with a fixed curve.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +40,21 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: What a learned entry needs: log likelihood ratio above the log of the sample's documents, documents, weight.
 EVIDENCE, DOCUMENTS, LEAST = 0.0, 3, 2.0
-ENTRIES = 50_000
 FOLDS = 4
 #: Words over which a negation reaches.
 REACH = 3
+#: Min-wise hashes of a sampled text's word triples, and how many equal ones make two texts count once.
+SKETCH, ALIKE = 16, 5
+#: Factors of the machine: a bare insult or threat, one aimed at a target, and what marks leave of them.
+BARE, BARE_THREAT, AIMED, NEGATED, QUOTED = 0.3, 0.1, 1.5, 0.25, 0.3
 
-# Closed word classes of English, German, French and Spanish.
+# Closed word classes of English, German, French and Spanish.  Words end at a straight
+# apostrophe, so contracted negations are listed by what comes before it.
 WORDS = {
     "insult": "idiot moron stupid loser scum worthless pathetic disgusting trash clown imbecile dumb fool jerk bastard idiota estúpido imbécil connard salaud crétin trottel arschloch dummkopf abschaum",
-    "threat": "kill murder hurt destroy stab beat shoot punch strangle töten umbringen schlagen tuer frapper matar golpear",
+    "threat": "kill murder hurt destroy stab beat shoot punch strangle choke crush burn bury hunt slaughter maim cripple töten umbringen schlagen ermorden erschießen erstechen verprügeln vernichten abstechen tuer frapper égorger étrangler assassiner massacrer poignarder détruire matar golpear asesinar apuñalar estrangular destruir disparar degollar",
     "target": "you your yours he she they them him her these those du dich dein ihr euch sie tu toi vous votre ils elles tú vosotros usted ustedes ellos ellas",
-    "negation": "not never nobody isn't aren't don't without nicht kein keine niemals ne pas jamais sans nunca jamás sin",
+    "negation": "not never nobody cannot isn aren wasn weren don doesn didn isn’t aren’t wasn’t don’t doesn’t didn’t won’t can’t without nicht kein keine keiner nie niemals ohne ne pas jamais aucun sans nunca jamás ningún sin",
     "reported": "said says told claimed called wrote quoted reported sagte sagt nannte schrieb dit écrit appelé dijo dice llamó escribió",
 }
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
@@ -88,31 +95,45 @@ def compose(first: Transducer, second: Transducer, symbols: set[str]) -> Transdu
     return Transducer(arcs, fallback)
 
 
-def grammar() -> list[list[tuple[int, float]]]:
-    """The composed machine as a table: for each state and word class the next state and a weight.
+SYMBOLS = "oihtnr"
+HITS = "ih"
+
+
+def grammar() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The machines as tables: (targets, next states, weights).
 
-    Symbols: o other, i insult, h threat, t target, n negation, r reported speech; i and h gain the
-    marks - for negated, q for reported and T for aimed at a target.
+    Symbols: o other, i insult, h threat, t target, n negation, r reported speech; hits (i and h) gain
+    the marks > for a target after them, - for negated, q for reported and < for a target before them.
+    ``targets[state, class]`` is the next state of the machine that reads from a clause's end; it marks
+    hits in state 1.  ``next[state, symbol]`` and ``weight[state, symbol]`` are of the one that reads
+    from the start, over the classes and then i> and h>.
     """
-    hits = ("i", "h")
+    after = Transducer({(k, "t"): (1, "t", 1.0) for k in (0, 1)} | {(1, s): (1, s + ">", 1.0) for s in HITS}, {0: 0, 1: 1})
+    inputs = [*SYMBOLS, *(s + ">" for s in HITS)]
+    marked = [s + m for s in HITS for m in ("", ">")]
     negation = Transducer(
-        {(k, "n"): (REACH, "n", 1.0) for k in range(REACH + 1)} | {(k, s): (k - 1, s + "-", 1.0) for k in range(1, REACH + 1) for s in hits},
+        {(k, "n"): (REACH, "n", 1.0) for k in range(REACH + 1)} | {(k, s): (k - 1, s + "-", 1.0) for k in range(1, REACH + 1) for s in marked},
         {k: max(0, k - 1) for k in range(REACH + 1)},
     )
-    marked = [s + m for s in hits for m in ("", "-")]
+    marked = [s + m for s in marked for m in ("", "-")]
     reported = Transducer({(k, "r"): (1, "r", 1.0) for k in (0, 1)} | {(1, s): (1, s + "q", 1.0) for s in marked}, {0: 0, 1: 1})
     marked = [s + m for s in marked for m in ("", "q")]
-    target = Transducer({(k, "t"): (1, "t", 1.0) for k in (0, 1)} | {(1, s): (1, s + "T", 1.0) for s in marked}, {0: 0, 1: 1})
-    marked = [s + m for s in marked for m in ("", "T")]
+    before = Transducer({(k, "t"): (1, "t", 1.0) for k in (0, 1)} | {(1, s): (1, s + "<", 1.0) for s in marked}, {0: 0, 1: 1})
+    marked = [s + m for s in marked for m in ("", "<")]
 
     def weight(s: str) -> float:
-        base = 1.0 if s[0] == "i" else 0.4
-        return base * (0.5 if "-" in s else 1.0) * (0.6 if "q" in s else 1.0) * (1.5 if "T" in s else 1.0)
+        base = AIMED if ">" in s or "<" in s else BARE if s[0] == "i" else BARE_THREAT
+        return base * (NEGATED if "-" in s else 1.0) * (QUOTED if "q" in s else 1.0)
 
     weigh = Transducer({(0, s): (0, s, weight(s)) for s in marked} | {(0, s): (0, s, 0.0) for s in "otnr"}, {0: 0})
-    inputs = set("oihtnr")
-    whole = compose(compose(compose(negation, reported, inputs), target, inputs), weigh, inputs)
-    return [[whole.arcs[state, s][0::2] for s in "oihtnr"] for state in sorted(whole.fallback)]
+    whole = compose(compose(compose(negation, reported, set(inputs)), before, set(inputs)), weigh, set(inputs))
+    states = sorted(whole.fallback)
+    table = [[whole.arcs[state, s] for s in inputs] for state in states]
+    return (
+        np.array([[after.step(k, s)[0] for s in SYMBOLS] for k in (0, 1)]),
+        np.array([[x[0] for x in row] for row in table]),
+        np.array([[x[2] for x in row] for row in table]),
+    )
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -161,15 +182,14 @@ class Lexicon:
 
 
 class Model:
-    """Lexicon, closed classes, machine and calibration."""
+    """Lexicon, closed classes, machines and calibration."""
 
     def __init__(self, learned: dict[int, float]):
         listed = {word_hash(x): LISTED_WEIGHT for x in WORDS["insult"].split()}
         self.lexicon = Lexicon(listed | learned)
-        self.closed = {word_hash(x): _CLASS[c] for c in WORDS for x in WORDS[c].split() if c != "insult"}
-        self.threats = Lexicon({word_hash(x): 1.0 for x in WORDS["threat"].split()})
-        self.machine = grammar()
-        self.curve = np.array([4.0, 0.0, -4.0])
+        self.closed = Lexicon({word_hash(x): float(_CLASS[c]) for c in WORDS for x in WORDS[c].split() if c != "insult"})
+        self.targets, self.next, self.weight = grammar()
+        self.curve = np.array([4.0, 0.0, -5.0])
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Per text: log of the clauses' total score, and share of clauses that match."""
@@ -183,51 +203,76 @@ class Model:
             best = np.zeros(len(w.start))
             for key in _keyed(w):
                 np.maximum(best, self.lexicon.weight(key), out=best)
+            symbol = np.where(best > 0, INSULT, self.closed.weight(w.hash).astype(np.int64))
+            best[symbol == THREAT] = LISTED_WEIGHT
             ends = np.concatenate([[0], np.cumsum(_ENDS[own], dtype=np.int32)])[w.start]
             row = np.searchsorted(at, w.start, "right") - 1
-            fresh = np.concatenate([[True], (ends[1:] != ends[:-1]) | (row[1:] != row[:-1])])
-            clause = np.cumsum(fresh) - 1
-            heads = np.append(np.flatnonzero(fresh), len(fresh))
-            hit = (best > 0) | (self.threats.weight(w.hash) > 0)
-            score, matched = np.zeros(b - a), np.zeros(b - a)
-            for c in np.unique(clause[hit]).tolist():
-                s = self.clause(w.hash[heads[c] : heads[c + 1]], best[heads[c] : heads[c + 1]])
-                r = row[heads[c]]
-                score[r] += s
-                matched[r] += s > 0
-            out[a:b, 0] = np.log1p(score)
-            out[a:b, 1] = matched / np.maximum(np.bincount(row[heads[:-1]], minlength=b - a), 1)
+            heads = np.flatnonzero(np.concatenate([[True], (ends[1:] != ends[:-1]) | (row[1:] != row[:-1])]))
+            length = np.diff(np.append(heads, len(row)))
+            clause = np.repeat(np.arange(len(heads)), length)
+            hit = np.zeros(len(heads), dtype=bool)
+            hit[clause[(symbol == INSULT) | (symbol == THREAT)]] = True
+            score = np.zeros(len(heads))
+            score[hit] = self.clauses(symbol, best, heads[hit], length[hit])
+            out[a:b, 0] = np.log1p(np.bincount(row[heads], weights=score, minlength=b - a))
+            out[a:b, 1] = np.bincount(row[heads], weights=score > 0, minlength=b - a) / np.maximum(np.bincount(row[heads], minlength=b - a), 1)
         return out
 
-    def clause(self, hashes: np.ndarray, weights: np.ndarray) -> float:
-        """The best reading of a clause, left to right or right to left, for targets on either side."""
-        symbols = [INSULT if x > 0 else self.closed.get(h, OTHER) for h, x in zip(hashes.tolist(), weights.tolist(), strict=True)]
-        return max(self._run(symbols, weights), self._run([s if s != NEGATION else OTHER for s in reversed(symbols)], weights[::-1]) if NEGATION not in symbols and REPORTED not in symbols else 0.0)
-
-    def _run(self, symbols: list[int], weights: np.ndarray) -> float:
-        state, total = 0, 0.0
-        for s, x in zip(symbols, weights, strict=True):
-            state, factor = self.machine[state][s]
-            total += factor * (x if s == INSULT else 1.0)
-        return total
+    def clauses(self, symbol: np.ndarray, value: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Scores of clauses of words with these symbols and values, each read from its end and then from its start."""
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
+        state, read = np.zeros(len(begin), np.int64), symbol.copy()
+        for t, n in enumerate(alive.tolist()):
+            at = begin[:n] + length[:n] - 1 - t
+            hits = at[(state[:n] == 1) & ((symbol[at] == INSULT) | (symbol[at] == THREAT))]
+            read[hits] = symbol[hits] + (len(SYMBOLS) - INSULT)
+            state[:n] = self.targets[state[:n], symbol[at]]
+        state, total = np.zeros(len(begin), np.int64), np.zeros(len(begin))
+        for t, n in enumerate(alive.tolist()):
+            at = begin[:n] + t
+            total[:n] += self.weight[state[:n], read[at]] * value[at]
+            state[:n] = self.next[state[:n], read[at]]
+        out = np.zeros(len(begin))
+        out[order] = total
+        return out
 
     def score(self, column: pa.Array) -> np.ndarray:
         return sigmoid(self.features(column) @ self.curve[:-1] + self.curve[-1])
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three smallest-word-pair keys of each sampled text, by which near copies are found."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Min-wise hashes of each sampled text's word triples."""
     for batch in batches:
         data, offs = string_buffer(batch.column(1))
-        keys = np.zeros((batch.num_rows, 3), np.int64)
+        keys = np.zeros((batch.num_rows, SKETCH), np.int64)
         for a, b in row_slices(offs):
             w = _cut(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             for i in range(b - a):
                 h = w.hash[w.first[i] : w.first[i + 1]]
                 h = h[2:] * U64(3) + h[1:-1] * U64(5) + h[:-2] * U64(7) if len(h) > 2 else h
-                for k in range(3):
+                for k in range(SKETCH):
                     keys[a + i, k] = int(mix(h ^ U64(0x1234567 * (k + 1))).min() >> U64(1)) if len(h) else -1
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(keys[:, k]) for k in range(3))], ["doc_id", "y", "k0", "k1", "k2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "y", "sketch"])
+
+
+def _independent(rows: list) -> dict[int, int]:
+    """Labels of the sampled documents, by id, without those that are much like one before them."""
+    kept: dict[int, int] = {}
+    sketches, holders = [], [{} for _ in range(SKETCH)]
+    for r in sorted(rows, key=lambda r: (int(mix(np.array([r.doc_id], np.int64).view(U64))[0]), r.doc_id)):
+        sketch = np.frombuffer(r.sketch, np.int64)
+        shared: dict[int, int] = {}
+        for k, value in enumerate(sketch.tolist()):
+            for other in holders[k].get(value, ()):
+                shared[other] = shared.get(other, 0) + 1
+        if max(shared.values(), default=0) < ALIKE:
+            for k, value in enumerate(sketch.tolist()):
+                holders[k].setdefault(value, []).append(len(sketches))
+            sketches.append(sketch)
+            kept[r.doc_id] = r.y
+    return kept
 
 
 def _counts(kinds: dict[int, int]):
@@ -268,15 +313,7 @@ def _strength(t, n, toxic: int, clean: int):
 def fit(documents: DataFrame, labels: DataFrame, held_out) -> Model:
     """The model of the labelled documents that are not held out."""
     sample = fitting.labelled_sample(documents, labels, "toxic", held_out, SAMPLE_ROWS)
-    rows = sample.select("doc_id", "text", "y").mapInArrow(_copies, "doc_id long, y int, k0 long, k1 long, k2 long").collect()
-    rows.sort(key=lambda r: (mix(np.array([r.doc_id], np.int64).view(U64))[0], r.doc_id))
-    seen: set[tuple[int, int]] = set()
-    kept: dict[int, int] = {}
-    for r in rows:
-        keys = {(k, r[f"k{k}"]) for k in range(3)}
-        if not keys & seen and r.doc_id not in kept:
-            kept[r.doc_id] = r.y
-        seen |= keys
+    kept = _independent(sample.select("doc_id", "text", "y").mapInArrow(_sketches, "doc_id long, y int, sketch binary").collect())
     if len(set(kept.values())) < 2:
         return Model({})
     kinds = {d: 2 * (i % FOLDS) + y for i, (d, y) in enumerate(kept.items())}
@@ -289,15 +326,15 @@ def fit(documents: DataFrame, labels: DataFrame, held_out) -> Model:
         t, n = (total[y] - F.col(f"c{2 * fold + y}") if fold is not None else total[y] for y in (1, 0))
         toxic, clean = (int(size[y::2].sum() - (size[2 * fold + y] if fold is not None else 0)) for y in (1, 0))
         weight, evidence = _strength(t, n, max(1, toxic), max(1, clean))
-        picked.append(F.when(evidence.isNotNull(), F.struct(weight.alias("w"), evidence.alias("e"))).alias("all" if fold is None else f"f{fold}"))
+        picked.append(F.when(evidence.isNotNull(), weight).alias("all" if fold is None else f"f{fold}"))
     strong = counts.where("key <> 0").select(*picked).where(F.coalesce("all", *(f"f{k}" for k in range(FOLDS))).isNotNull())
-    entries = strong.orderBy(F.desc(F.coalesce("all", *(f"f{k}" for k in range(FOLDS)))["e"]), "key").limit(ENTRIES).collect()
+    entries = strong.collect()
 
     def lexicon(name: str) -> dict[int, float]:
-        return {int(np.int64(r.key).view(U64)): float(r[name].w) for r in entries if r[name] is not None}
+        return {int(np.int64(r.key).view(U64)): float(r[name]) for r in entries if r[name] is not None}
 
     model, others = Model(lexicon("all")), [Model(lexicon(f"f{k}")) for k in range(FOLDS)]
-    found = sample.select("doc_id", "text").mapInArrow(_featured(others, {d: k // 2 for d, k in kinds.items()}), "doc_id long, f0 double, f1 double").dropDuplicates(["doc_id"]).collect()
+    found = sample.select("doc_id", "text").mapInArrow(_featured(others, {d: k // 2 for d, k in kinds.items()}), "doc_id long, f0 double, f1 double").collect()
     found.sort(key=lambda r: r.doc_id)
     model.curve = fitting.logistic(np.array([(r.f0, r.f1) for r in found]), np.array([kept[r.doc_id] for r in found]), l2=0.05)
     return model
