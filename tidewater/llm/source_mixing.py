@@ -18,10 +18,12 @@ permuted order, go to the shards in turn by these counts, which are disjoint ran
 row has a shard for each of its copies; inside its shard a document copy has a random sort key.
 Every draw is a function of the seed, so reruns agree.
 
-Null texts have size 0.  A document of size 0 is taken with the blocks before the cut.  The null
-source comes last.  Documents without an id have their place by their text.  Repeated rows count each; rows equal in id and size are ranked arbitrarily, but
-are interchangeable.  Sources of no words, and empty tables, have target 0 and nothing is taken.
-Sources are a catalogue: one row each is held by the driver.  Extra columns stay out of the plan.
+Null texts have size 0; very long ones are counted whole.  A document of size 0 is taken with the
+blocks before the cut.  The null source comes last.  A document's place follows from its id and text,
+null or not.  Repeated rows count each: rows of one place and size are ranked as one group, and which of
+them are taken follows from where they are stored, in runs, so no group meets in one task.  Sources of
+no words, and empty tables, have target 0 and nothing is taken.  Sources are a catalogue: one row each
+is held by the driver, up to ``SOURCES``, beyond which it is an error.  Extra columns stay out of the plan.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ SHARE, CAP = 1.5, 2.0
 BITS = 10
 BINS = 1 << BITS
 SHARDS = 32
+#: Sources that the driver holds at most, with their blocks by shard about 400 bytes each.
+SOURCES = 500_000
 SEED = 20240607
 
 
@@ -56,7 +60,7 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def _placed(documents: DataFrame, seed: int, *others) -> DataFrame:
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    key = F.xxhash64("doc_id", "text", F.lit(seed))
     rows = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *others)
     return rows.withColumn("place", F.shiftrightunsigned(key, 4))
 
@@ -114,7 +118,9 @@ def _dealt(docs: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFram
     """(sources, draws) of stored sizes: each source's target and cut with its shards' ranges of draws,
     and these ranges as rows (source, shard, low, high)."""
     spark = docs.sparkSession
-    rows = docs.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    rows = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     goal = targets([(r["source"], r["n"]) for r in rows])
     size = {r["source"]: r["n"] for r in rows}
     whole = {s: int(goal[s] // size[s]) if size[s] else 0 for s in goal}
@@ -160,8 +166,7 @@ def _assigned(rows: DataFrame, sources: DataFrame) -> DataFrame:
     edge, rest = named.where("side = 0"), named.where("side <> 0")
     if "size" not in rows.columns:
         edge, rest = _measured(edge), rest.drop("text").withColumn("size", F.lit(None).cast("long"))
-    edge = edge.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("extra", (F.col("sum") - F.col("size") / 2 < F.col("inside")).cast("int")).drop("sum")
+    edge = _ranked(tables.stored(edge.withColumn("nth", F.monotonically_increasing_id()), "edge"))
     both = rest.withColumn("extra", (F.col("side") < 0).cast("int")).unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
 
     def shard(copy):
@@ -172,6 +177,28 @@ def _assigned(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return both.withColumn("shards", shards).drop("edge", "inside", "ranges", "side", "extra")
 
 
+def _ranked(edge: DataFrame) -> DataFrame:
+    """Whether each row of the cuts' last bins is taken once more: in the order of places those whose
+    middle is before the cut.
+
+    Rows of one place and size are interchangeable and are a group; so many of it are taken, the first
+    by ``nth``.  They are numbered in runs of 2**16, so no window holds more than the runs of a group
+    or the rows of a run.
+    """
+    group, run = ["source", "place", "size"], F.shiftright("nth", 16)
+    runs = tables.stored(edge.groupBy(*group, run.alias("run")).agg(F.count("*").alias("n"), F.first("inside").alias("inside")), "runs")
+    groups = runs.groupBy(*group).agg(F.sum("n").alias("rows"), F.first("inside").alias("inside"))
+    ahead = F.sum(F.col("rows") * F.col("size")).over(Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1))
+    fit = F.ceil((F.col("inside") - F.coalesce(ahead, F.lit(0))) / F.col("size") - 0.5)
+    groups = groups.withColumn("taken", F.when(F.col("size") == 0, F.when(F.coalesce(ahead, F.lit(0)) < F.col("inside"), F.col("rows")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(fit, F.col("rows")))))
+    keyed = runs.select("source", "place", "size", "run", "n").join(groups.select(*(F.col(c).alias(f"of {c}") for c in group), "taken"), _all([_same(c, f"of {c}") for c in group]))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = keyed.select(*(F.col(c).alias(f"of {c}") for c in [*group, "run"]), (F.col("taken") - first).alias("left"))
+    rows = edge.withColumn("run", run).join(left, _all([_same(c, f"of {c}") for c in [*group, "run"]])).drop(*(f"of {c}" for c in [*group, "run"]))
+    number = F.row_number().over(Window.partitionBy(*group, "run").orderBy("nth"))
+    return rows.withColumn("extra", (number <= F.col("left")).cast("int")).drop("nth", "run", "left")
+
+
 def plan(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, draws): every document row with size, source_size, target, copies, block and the
     shard of each copy, and every source's draws by shard in the order in which its blocks are drawn."""
