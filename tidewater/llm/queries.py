@@ -25,5 +25,6 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL for those that SQL can express within reason.
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc_salvage.ORACLE,
     "op8_url_filters": url_rules.ORACLE,
 }
