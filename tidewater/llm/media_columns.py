@@ -3,12 +3,17 @@
 Samples are 8 bits.  Images are resized by their integral image: the integral is interpolated at the
 target's cell borders, which gives each cell's exact area mean, also where cells cut pixels.  A
 difference hash compares neighbouring cells of a 9 x 8 reduction; the 8 x 8 reduction is written as an
-NPY tile.  Integrals are taken over strips of rows, so their memory does not follow the image's height.
+NPY tile.  Colour images are reduced channel by channel and hashed by their luma.  Integrals are taken
+over strips of rows, so their memory does not follow the image's height.
 
-For texts, ``text_images`` stores a text's UTF-8 bytes, filled with 255 to a positive multiple of
-``BLOCK``, as the samples of an image ``WIDTH`` wide, and everything else is computed from the stored
-bytes read back.  Null and empty texts are one block of 255.  Equal texts give equal values, repeated
-rows a row each.  Bytes that are no whole image raise ``ValueError``.  Extra columns are ignored.
+For texts, ``store_texts`` writes a text's UTF-8 bytes, filled with 255 to a positive multiple of
+``BLOCK``, as the samples of an image ``WIDTH`` wide into a media table of the shared folder: as PGM,
+or, from ``BMP_FROM`` bytes on, as BMP, whose rows lie at fixed aligned places.  ``media_features``
+reads that table back and computes everything from the stored bytes.
+
+Null and empty texts are one block of 255.  Very long ones are one image.  Cells of equal brightness
+give a zero bit.  Equal texts give equal values, repeated rows a row each; null ids stay null.  Bytes
+that are no whole image raise ``ValueError``.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import tables
-from .textcore import string_buffer
+from .textcore import row_slices, string_buffer
 
 BLOCK, WIDTH, FILL = 576, 24, 255
+BMP_FROM = 1 << 16
+# The parts of red, green and blue in luma.
+LUMA = np.array([0.299, 0.587, 0.114])
 STRIP = 1 << 16
 
 
@@ -121,7 +129,9 @@ def _borders(cells: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Mean of a grey image over each cell of a grid, from its integral image."""
+    """Mean of an image over each cell of a grid, from its integral image; colours one by one."""
+    if image.ndim == 3:
+        return np.stack([area_resize(image[..., c], rows, columns) for c in range(image.shape[2])], -1)
     high, wide = image.shape
     x, fx = _borders(columns, wide)
     y, fy = _borders(rows, high)
@@ -146,7 +156,8 @@ def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> int:
     """64 bits: whether each cell of 8 x 9 is brighter than the one to its right."""
-    small = np.rint(area_resize(image, 8, 9) * 256).astype(np.int64)
+    small = area_resize(image, 8, 9)
+    small = np.rint((small @ LUMA if small.ndim == 3 else small) * 256).astype(np.int64)
     bits = (small[:, :-1] > small[:, 1:]).ravel()
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
@@ -163,34 +174,55 @@ def text_payload(raw: bytes) -> bytes:
     return raw + bytes([FILL]) * (-len(raw) % BLOCK if raw else BLOCK)
 
 
-def _rows(form: str):
-    store = {"pgm": encode_netpbm, "bmp": encode_bmp}[form]
+def _stored(form: str):
+    store = {"pgm": encode_netpbm, "bmp": encode_bmp}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = string_buffer(batch.column(1))
-            out = []
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                payload = text_payload(data[a:b].tobytes())
-                media = store(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
-                image = decode(media)
-                back, tile = image.tobytes(), npy_tile(image)
-                out.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image):016x}", tile))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+            for a, b in row_slices(offs):
+                media = []
+                for i, j in zip(offs[a:b].tolist(), offs[a + 1 : b + 1].tolist(), strict=True):
+                    payload = text_payload(data[i:j].tobytes())
+                    own = form if form != "auto" else "bmp" if len(payload) >= BMP_FROM else "pgm"
+                    media.append(store[own](np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offs[a : b + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return run
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+def store_texts(documents: DataFrame, form: str = "auto") -> DataFrame:
+    """The media table (doc_id, n_bytes, media) of all texts, stored; ``form``: pgm, bmp or auto."""
+    images = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_stored(form), "doc_id long, n_bytes long, media binary")
+    return tables.stored(images, "media", compression="zstd")
+
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    for batch in batches:
+        out = []
+        for media in batch.column(2):
+            media = media.as_buffer().to_pybytes()
+            image = decode(media)
+            back = image.tobytes()
+            out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image):016x}", npy_tile(image)))
+        columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """Sizes, digests, difference hash and NPY tile of each image of a table (doc_id, n_bytes, media)."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_featured, f"doc_id long, n_bytes long, {FEATURES}")
 
 
-def text_images(documents: DataFrame, form: str = "pgm") -> DataFrame:
-    """Sizes, digests, difference hash and NPY tile of each text as an image (``pgm`` or ``bmp``)."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_rows(form), SCHEMA)
+def text_images(documents: DataFrame, form: str = "auto") -> DataFrame:
+    """Each text as a stored image and what its stored bytes give."""
+    return media_features(store_texts(documents, form))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_images(tables.read(spark, sf_dir, "documents")).drop("tile")
+    return text_images(tables.read(spark, sf_dir, "documents"))
