@@ -8,7 +8,8 @@ that is compatible with the piece that ends the encoding before it.  Two pieces
 encoding their concatenation gives them back, which is decided by undoing merges across the seam;
 answers are cached.  So the path is the one that the model's merges give, not a shortest path, which
 for a model trained on merges would be another.  Stretches of several leading spaces (whose pieces
-tie in score) or longer than ``LONG`` bytes are merged pair by pair instead.
+tie in score) or longer than ``LONG`` bytes are merged pair by pair instead, with the same result.  The
+array orders suffixes by their first 16 bytes; longer pieces are compared with the text.
 
 The result equals the library's for the same model.  Null and empty texts have no pieces and decode
 to the empty text.  A character outside the vocabulary becomes one piece a byte.  The character
@@ -23,6 +24,7 @@ import hashlib
 import heapq
 import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from . import tables
 from .textcore import U64, mix, powers, row_slices, string_buffer
 
 MODEL = os.environ.get("TIDEWATER_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-LONG = 48
+#: Bytes of a stretch that goes through the array; the edges' order has 11 bits for places in one.
+LONG = 2000
 #: Bytes of distinct stretches that one suffix array covers, and of texts whose stretches are encoded once.
 INDEXED = 1 << 18
 TOGETHER = 8 << 20
@@ -44,10 +47,10 @@ _CACHE = 1 << 21
 class Vocabulary:
     """Pieces, their order of merging, their last merges, and which pairs merge to what."""
 
-    def __init__(self, model_file: str = MODEL):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.size, self.byte_ids = n, np.full(256, sp.unk_id(), np.int32)
         text, normal = [""] * n, []
@@ -189,8 +192,9 @@ class Encoder:
         last = np.full(len(text) + 1, UNKNOWN, np.int64)
         starts = np.zeros(len(text) + 1, dtype=bool)
         starts[begin] = True
-        cuts = np.searchsorted(edges, np.arange(LONG + 2) << 52)
-        for step in range(1, LONG + 1):
+        top = int(edges[-1] >> 52) if len(edges) else 0
+        cuts = np.searchsorted(edges, np.arange(top + 2) << 52)
+        for step in range(1, top + 1):
             e = edges[cuts[step] : cuts[step + 1]]
             if not len(e):
                 continue
@@ -316,23 +320,31 @@ def _cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[bytes, Encoder] = {}
 
 
-def encoder(model_file: str) -> Encoder:
+def encoder(model: bytes) -> Encoder:
     """One encoder a worker process and model."""
-    if model_file not in _encoders:
-        _encoders[model_file] = Encoder(Vocabulary(model_file))
-    return _encoders[model_file]
+    key = hashlib.sha256(model).digest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(Vocabulary(model))
+    return _encoders[key]
 
 
-def _digests(model_file: str):
+def _shipped(documents: DataFrame, model_file: str):
+    """The model's bytes, read on the driver and broadcast: about a megabyte, whatever the corpus."""
+    return documents.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())
+
+
+def _digests(model, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_file)
+        own = encoder(model.value)
         for batch in batches:
             n, raw, whole, digest = (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, dtype=bool), [""] * batch.num_rows)
             data, offs = string_buffer(batch.column(1))
-            for a, b, ids, first, spaced, at in own.encode(batch.column(1)):
+            pieces = [pa.array([], pa.list_(pa.int32()))]
+            for a, b, ids, first, _, _ in own.encode(batch.column(1)):
+                pieces.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)) if with_ids else pieces[0])
                 n[a:b] = np.diff(first)
                 is_byte = np.isin(ids, own.v.byte_ids)
                 raw[a:b] = np.diff(np.concatenate([[0], np.cumsum(is_byte)])[first])
@@ -342,7 +354,9 @@ def _digests(model_file: str):
                     digest[a + i] = hashlib.sha256(ids[first[i] : first[i + 1]].astype("<i4").tobytes()).hexdigest()
                     text = back[decoded_at[i] + 1 : decoded_at[i + 1]] if first[i + 1] > first[i] else back[:0]
                     whole[a + i] = np.array_equal(text, data[offs[a + i] : offs[a + i + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(raw), pa.array(digest, pa.string()), pa.array(whole)], ["doc_id", "n_bytes", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"])
+            columns = [batch.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(raw), pa.array(digest, pa.string()), pa.array(whole)]
+            names = ["doc_id", "n_bytes", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(pieces)] if with_ids else columns, [*names, "ids"] if with_ids else names)
 
     return run
 
@@ -350,15 +364,16 @@ def _digests(model_file: str):
 DIGESTS = "doc_id long, n_bytes long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean"
 
 
-def encoded_digests(documents: DataFrame, model_file: str = MODEL) -> DataFrame:
-    """Per row: bytes, pieces, byte pieces, SHA-256 of the ids as 32-bit little-endian integers, and
-    whether decoding gave the text back."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_digests(model_file), DIGESTS)
+def encoded_digests(documents: DataFrame, model_file: str = MODEL, with_ids: bool = False) -> DataFrame:
+    """Per row: bytes, pieces, byte pieces, SHA-256 of the ids as 32-bit little-endian integers, whether
+    decoding gave the text back, and the ids themselves if asked for."""
+    schema = DIGESTS + ", ids array<int>" if with_ids else DIGESTS
+    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_digests(_shipped(documents, model_file), with_ids), schema)
 
 
-def _encode(model_file: str):
+def _encode(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_file)
+        own = encoder(model.value)
         for batch in batches:
             for a, b, ids, first, _, _ in own.encode(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
@@ -368,12 +383,12 @@ def _encode(model_file: str):
 
 def encode(documents: DataFrame, model_file: str = MODEL) -> DataFrame:
     """doc_id and ids of every row."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_encode(model_file), "doc_id long, ids array<int>")
+    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_encode(_shipped(documents, model_file)), "doc_id long, ids array<int>")
 
 
-def _decode(model_file: str):
+def _decode(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model_file)
+        own = encoder(model.value)
         for batch in batches:
             texts = [own.decode(np.array(x or [], np.int32)).tobytes().decode("utf-8", "replace")[1:] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -383,7 +398,7 @@ def _decode(model_file: str):
 
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     """doc_id and text of rows of ids; null ids give the empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(model_file), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(_shipped(encoded, model_file)), "doc_id long, text string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
