@@ -1,11 +1,16 @@
 """Operators as a whole: odd inputs, held-out accuracy, recall, archives, mixes and the pipeline."""
 
 import hashlib
+import itertools
 import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewater.llm import jaccard_join, license_rules, media_columns, multiprobe_lsh, quality_crf, source_mixing, suffix_pieces, toxicity_grammar, url_rules
@@ -77,20 +82,96 @@ def test_held_out_accuracy(spark, module, label, least):
     assert len(found) > 30 and right >= least and documents.count() == run(spark, SF).count()
 
 
-def test_grammar():
-    machine = toxicity_grammar.grammar()
-
-    def weight(symbols):
-        state, out = 0, []
-        for s in symbols:
-            state, w = machine[state]["oihtnr".index(s)]
-            out.append(round(w, 3))
-        return out
-
-    assert weight("oio") == [0, 1.0, 0]
-    assert weight("nooi")[-1] == 1.0 * 0.5 and weight("noooi")[-1] == 1.0
-    assert weight("ri")[-1] == 0.6 and weight("ti")[-1] == 1.5 and weight("rtni")[-1] == round(1.5 * 0.6 * 0.5, 3)
-    assert weight("th")[-1] == round(0.4 * 1.5, 3)
+def plain_toxicity(text, weights):
+    """A text's clause scores by the grammar's definition, word by word, with given insult weights."""
+    X = toxicity_grammar
+    classes = {w: c for c in X.WORDS for w in X.WORDS[c].split()}
+    scores = []
+    for clause in re.split(r"[.,;:!?\n()\"]", text.lower()):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", clause)
+        if not words:
+            continue
+        kinds = ["insult" if w in weights else classes.get(w) for w in words]
+        total = 0.0
+        for i, kind in enumerate(kinds):
+            if kind not in ("insult", "threat"):
+                continue
+            aimed = "target" in kinds[:i] or "target" in kinds[i:]
+            factor = X.AIMED if aimed else X.BARE if kind == "insult" else X.BARE_THREAT
+            factor *= X.NEGATED if "negation" in kinds[max(0, i - X.REACH) : i] else 1
+            factor *= X.QUOTED if "reported" in kinds[:i] else 1
+            total += factor * (weights[words[i]] if kind == "insult" else X.LISTED_WEIGHT)
+        scores.append(total)
+    return np.log1p(sum(scores)), sum(x > 0 for x in scores) / max(1, len(scores))
+
+
+def test_toxicity_equals_the_plain_grammar():
+    rng, X = random.Random(6), toxicity_grammar
+    weights = {w: X.LISTED_WEIGHT for w in X.WORDS["insult"].split()} | {"zork": 5.5}
+    model = X.Model({X.word_hash("zork"): 5.5})
+    pool = [w for c in X.WORDS.values() for w in c.split()] + ["zork", "the", "cat", "sat", "été"] * 8
+    texts = ["", "...", "idiot", "You aren't an idiot, but I will KILL you"] + ["".join(rng.choice(pool) + rng.choice([" ", " ", " ", ", ", "\n", ". "]) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    found = model.features(pa.array(texts))
+    assert np.abs(found - np.array([plain_toxicity(t, weights) for t in texts])).max() < 1e-9
+
+
+def test_clauses_outrank_words():
+    model = toxicity_grammar.Model({})
+    score = dict(zip(texts := ["idiot", "I will kill you", "you are an idiot", "you are not an idiot", "you aren't an idiot", "not an idiot like you", "she said you are an idiot", "kill the process"], model.score(pa.array(texts)), strict=True))
+    assert all((score[t] >= toxicity_grammar.THRESHOLD) == (t in ("I will kill you", "you are an idiot")) for t in texts)
+    assert score["not an idiot like you"] > score["idiot"]
+
+
+def plain_quality(text, model):
+    """A text's score from enumerated labellings of its lines."""
+    lines = (text or "").encode().split(b"\n")
+    rows = []
+    for line in lines:
+        n, words = max(1, len(line)), re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in line))
+        share = [sum(c in members for c in line) / n for members in (range(65, 91), [*range(65, 91), *range(97, 123), *range(128, 256)], range(48, 58), b"#$%&*@^~+=<>{}[]\\_", b"|!", b".,;:?")]
+        again = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+        rows.append([*share, again, 1 - len(set(words)) / max(1, len(words)) if words else 0, min(sum(map(len, words)) / max(1, len(words)) / 20, 2), not line, np.log1p(len(line)) / 8, share[0] > 0.5 * max(share[1], 1e-6), share[3] > 0.1, share[4] > 0.03])
+    none = [0.0] * quality_crf.BASE
+    x = np.array([[*r, *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none), i == 0, i + 1 == len(rows)] for i, r in enumerate(rows)], float)
+    e = (x - model.mean) / model.scale @ model.w + model.bias
+    n, m = len(rows), model.m
+    p, z = np.zeros(n), 0.0
+    for labels in itertools.product((0, 1), repeat=n):
+        weight = np.exp(sum(e[i] * y for i, y in enumerate(labels)) + sum(m[a, b] for a, b in zip(labels, labels[1:])))
+        z, p = z + weight, p + weight * np.array(labels)
+    size = np.array([len(line) for line in lines]) + 1e-3
+    share = np.clip((p / z * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(np.log(share / (1 - share)) / 4 * model.curve[0] + share * model.curve[1] + model.curve[2])))
+
+
+def test_quality_equals_enumeration(spark, tmp_path):
+    rng = random.Random(8)
+
+    def line(good):
+        return " ".join(rng.choice(["the", "House", "of", "12", "green,", "tea."] if good else ["|||", "BUY", "BUY", "##", "$$$", "9"]) for _ in range(rng.randrange(0, 9)))
+
+    texts = [(i, "\n".join(line(i % 2 or rng.random() < 0.4) for _ in range(rng.randrange(1, 8)))) for i in range(120)] + [(500, None), (501, ""), (502, "\n\n")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality_crf.fit(documents, labels, quality_crf.HELD_OUT)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts], pa.string())], ["text"])
+    found = next(quality_crf._scores(model)(iter([batch]))).column(1).to_numpy()
+    assert model.trained and np.abs(found - [plain_quality(t, model) for _, t in texts]).max() < 1e-4
+
+
+def test_fit_is_bounded_and_whole(spark, monkeypatch):
+    """One row of an id, whole texts, and no more rows or bytes than allowed."""
+    from tidewater.llm import fitting
+
+    rows = [(i, f"text {i} " + "x" * (10_000 if i == 3 else 10)) for i in range(40)] + [(1, "another text of that id")] * 5_000
+    documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    every = lambda d: F.lit(False)
+    assert len(fitting.labelled_sample(documents, labels, "toxic", every, 2).collect()) == 2
+    sample = fitting.labelled_sample(documents, labels, "toxic", every, 100).collect()
+    assert sorted(r.doc_id for r in sample) == list(range(40)) and all((r.doc_id, r.text) in set(rows) for r in sample)
+    monkeypatch.setattr(fitting, "SAMPLE_BYTES", 2000)
+    small = fitting.labelled_sample(documents, labels, "toxic", every, 100).collect()
+    assert 30 < len(small) < 40 and 3 not in {r.doc_id for r in small} and {(r.doc_id, r.text) for r in small} <= set(rows)
 
 
 def test_crf_marginals():
@@ -171,6 +252,32 @@ def test_mix_carries_every_row(spark):
     assert sum(r.doc_id is None for r in out) == sum(r.copies for r in planned if r.doc_id is None) > 300
 
 
+def test_mix_equals_sorting(spark):
+    """Which documents are taken once more, against sorting each source by place."""
+    rng = random.Random(9)
+    rows = [(rng.choice([i, i % 40, None]), " ".join(["w"] * rng.randrange(1, 30)), rng.choice("abc")) for i in range(900)] + [(7, "one two three", "a")] * 400 + [(None, "x y", "b")] * 300
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    planned = source_mixing.plan(documents)[0].collect()
+    goal = source_mixing.targets([(s, sum(r["size"] for r in planned if r.source == s)) for s in "abc"])
+    for s in "abc":
+        own = sorted((r for r in planned if r.source == s), key=lambda r: (r.place, r["size"]))
+        total = sum(r["size"] for r in own)
+        whole, rest, ahead, want = int(goal[s] // total), goal[s] % total, 0, Counter()
+        for r in own:
+            want[r.place, r["size"], whole + (ahead + r["size"] / 2 < rest)] += 1
+            ahead += r["size"]
+        assert want == Counter((r.place, r["size"], r.copies) for r in own)
+
+
+def test_rows_of_one_place_are_numbered(spark):
+    rows = [("a", 5, 2, 10.0, i * 40_000) for i in range(30)] + [("a", 9, 3, 10.0, 7), (None, 1, 4, 5.0, 8), (None, 1, 0, 5.0, 9)]
+    edge = spark.createDataFrame(rows, "source string, place long, size long, inside double, nth long")
+    extra = {}
+    for r in source_mixing._ranked(edge).collect():
+        extra.setdefault((r.source, r["size"]), []).append(r.extra)
+    assert sum(extra["a", 2]) == 5 and len(extra["a", 2]) == 30 and extra["a", 3] == [0] and extra[None, 4] == [1] and extra[None, 0] == [1]
+
+
 def brute_neighbours(v, ids, i, k):
     s = (v @ v[i]) / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]))
     return [j for j in np.lexsort((ids, -s)) if j != i][:k], s
@@ -217,7 +324,47 @@ def test_repeated_ids_leave_room_for_others(spark):
 def test_odd_vectors(spark, folder):
     rows = [tuple(r) for r in multiprobe_lsh.op9(spark, folder).orderBy("query_id", "rank").collect()]
     first = [(r[0], r[1], r[2]) for r in rows if r[0] == 0]
-    assert first[:3] == [(0, 1, 6), (0, 2, 7), (0, 3, 50)] and {r[0] for r in rows} == {0, 50}
+    assert first == [(0, 1, 6), (0, 2, 7), (0, 3, 50), (0, 4, 1)] and {r[0] for r in rows} == {0, 50}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_all_of_few_candidates(spark, n):
+    rows = [(0, [1.0, 0.0])] + [(i, [-1.0, 0.1 * i]) for i in range(1, n + 1)]
+    found = multiprobe_lsh.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, 5).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(k, n + 1 - k) for k in range(1, n + 1)]
+
+
+def test_a_query_far_from_all(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 16)) * 0.05 + 1
+    rows = [(0, (-np.ones(16)).tolist())] + [(i + 1, x.tolist()) for i, x in enumerate(v)]
+    found = multiprobe_lsh.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, 5).collect()
+    near, _ = brute_neighbours(np.array([r[1] for r in rows]), np.arange(301), 0, 5)
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == near
+
+
+def test_dimensions_apart_and_shuffled_probes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = sorted(tuple(r) for r in multiprobe_lsh.search(frame, lambda i: i % 20 < 2, 5).collect())
+    monkeypatch.setattr(multiprobe_lsh, "BROADCAST_BYTES", -1)
+    assert one == sorted(tuple(r) for r in multiprobe_lsh.search(frame, lambda i: i % 20 < 2, 5).collect())
+    assert len(one) == 200 and all(r[0] % 2 == r[2] % 2 for r in one)
+
+
+@needs_tables
+def test_recall_of_the_table(spark):
+    table = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    table = [(i, x) for i, x in table if x and None not in x and np.isfinite(x).all() and np.any(x)]
+    ids, v = np.array([i for i, _ in table]), np.array([x for _, x in table], float)
+    found, hits, asked = {}, 0, np.flatnonzero(ids % 5 == 0)
+    for r in multiprobe_lsh.search(spark.read.parquet(f"{SF}/embeddings.parquet"), lambda i: i % 5 == 0, 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in asked:
+        near, _ = brute_neighbours(v, ids, i, 5)
+        hits += len({int(ids[j]) for j in near} & found[int(ids[i])])
+    assert hits / (5 * len(asked)) >= 0.9
 
 
 def archive(n=6):
@@ -253,6 +400,60 @@ def test_salvage_damaged(damage):
     assert list(W.salvage(b"")) == [] and list(W.salvage(b"\x1f\x8b\x08")) == [("gap", (0, 3))]
 
 
+def test_salvage_of_quoted_and_inner_records():
+    """A version line inside a page is no record, and a member's records survive one bad among them."""
+    good, quoted = W.record(1, "http://x", b"y" * 300, None), W.record(77, "http://q", b"z" * 10, None)
+    bad = W.record(5, "http://o", b"says: " + quoted + b" so", None).replace(b"says", b"sayz")
+    assert [(k, x if k == "gap" else x["page_id"]) for k, x in W.salvage(good + bad + good)] == [("record", 1), ("gap", (len(good), len(good + bad))), ("record", 1)]
+    several = W.member(good + good.replace(b"yyy", b"yzy", 1) + good)
+    assert [k for k, _ in W.salvage(several)] == ["gap", "record", "record"]
+    torn = W.member(b"".join(W.record(i, "u", os.urandom(20_000), None) for i in range(4)))
+    out = list(W.salvage(torn[: len(torn) * 3 // 5]))
+    assert [x["page_id"] for k, x in out if k == "record"] == [0, 1] and sum(k == "gap" for k, _ in out) == 1
+
+
+def test_digests_of_other_kinds():
+    import base64
+
+    good = W.record(1, "http://x", b"y" * 300, None)
+    old = re.search(rb"sha256:[0-9a-f]+", good)[0]
+    sha1 = b"sha1:" + base64.b32encode(hashlib.sha1(b"y" * 300).digest())
+    for value, kept in ((sha1, True), (b"sha1:" + b"A" * 32, False), (b"blake3:00", True), (old[:-1] + b"x", False)):
+        assert [k for k, _ in W.salvage(good.replace(old, value))] == ["record" if kept else "gap"]
+    bare = W.record(1, "http://x", b"", None).replace(b"Content-Length: 0\r\n\r\n", b"X-Length: none\r\n\r\n")
+    length = int(re.search(rb"msgtype=response\r\nContent-Length: (\d+)", bare)[1])
+    bare = bare.replace(b"Content-Length: %d" % length, b"Content-Length: %d" % (bare.index(b"\r\n\r\n\r\n\r\n") + 4 - bare.index(b"HTTP/1.1")))
+    assert [k for k, _ in W.salvage(bare)] == ["record"]
+
+
+def test_salvage_is_linear():
+    import time
+
+    for junk in (W.MAGIC * 100_000, (W.MAGIC + b"\x08" + b"n" * 9) * 20_000, b"\nWARC/1.1\r\n" * 50_000):
+        began = time.perf_counter()
+        assert [k for k, _ in W.salvage(junk)] == ["gap"]
+        assert time.perf_counter() - began < 10
+
+
+def test_long_pages(spark, tmp_path):
+    rows = [(i, f"http://example.com/{'a/' * 20_000}", "<p>" + f"{i % 2}" * 3_000_000) for i in range(4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in W.op7(spark, str(tmp_path)).collect()) == [(0, 3_000_003, "response", None), (1, 3_000_003, "response", None), (2, 3_000_003, "revisit", 0), (3, 3_000_003, "revisit", 1)]
+    assert {(len(r.path), r.verdict) for r in url_rules.op8(spark, str(tmp_path)).collect()} == {(40_001, "allow")}
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_warc_rows_equal_sql(spark, folder, salted, monkeypatch):
+    import duckdb
+
+    if salted:
+        monkeypatch.setattr("tidewater.llm.tables.BROADCAST_ROWS", 0)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select page_id, html from read_parquet('{folder}/pages.parquet/*.parquet')")
+    got = W.op7(spark, folder)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, con.sql(W.ORACLE).fetchall())) and got.columns == con.sql(W.ORACLE).columns
+
+
 def test_bad_digest_is_a_gap():
     good = W.record(1, "http://x", b"y" * 300, None)
     out = list(W.salvage(W.member(good.replace(b"yyy", b"yzy", 1)) + W.member(good)))
@@ -324,3 +525,63 @@ def test_near_duplicates_without_an_id(spark, folder):
     assert unnamed.count() == 5
     copies = sum(r.copies for r in source_mixing.plan(unnamed)[0].collect())
     assert corpus_pipeline.mixing(spark, unnamed, folder).where("doc_id is null").count() == copies > 0
+
+
+def kept_by_brute_force(rows):
+    """Of each component of (doc_id, text) rows the least by id (null last) and text hash, wordless ones all."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            label[max(a, b)] = min(a, b)
+    members = {}
+    for i, s in enumerate(sets):
+        if s:
+            members.setdefault(find(i), []).append(rows[i])
+    return members.values(), Counter(r for r, s in zip(rows, sets, strict=True) if not s)
+
+
+def shingle_set(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_near_duplicates_keep_one_of_each_component(spark, folder):
+    """Null, repeated and clashing ids: no text of its own is lost, and no copy stays."""
+    rng = random.Random(11)
+    families = [[f"f{k}w{i}" for i in range(40)] for k in range(14)]
+    rows = []
+    for _ in range(160):
+        words = list(rng.choice(families))
+        if rng.random() < 0.5:
+            words[rng.choice([0, 39])] = rng.choice(["x", "y"])
+        rows.append((rng.choice([None, 5, 5, *range(8)]), " ".join(words)))
+    rows += [(5, "a clean text"), (5, "quite another text"), (3, " ".join(families[0])), (5, ""), (5, ""), (None, None), (6, "  ")] + [(2, "a row that is there"), (2, "a row that is there")]
+    docs = spark.createDataFrame([(i, t, rng.choice("abc"), "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder).collect()
+    components, wordless = kept_by_brute_force(rows)
+    got = Counter((r.doc_id, r.text) for r in kept)
+    for members in components:
+        own = [x for x in got.elements() if x in members]
+        least = min((i is None, i or 0) for i, _ in members)
+        assert len(own) == 1 and (own[0][0] is None, own[0][0] or 0) == least
+    assert sum(got.values()) == len(components) + sum(wordless.values()) and all(got[r] == n for r, n in wordless.items())
+    assert sorted(map(repr, kept)) == sorted(map(repr, corpus_pipeline.near_duplicates(spark, docs.repartition(2), folder).collect()))
+
+
+def test_mixing_loses_no_row(spark, folder):
+    """Every null-id row that the plan takes is there, as often as it is taken."""
+    docs = spark.createDataFrame([(None, "one two three", "en", "a", 3), (None, "four five", "en", "a", 2), (1, "six", "en", "b", 1), (1, "seven eight", "en", "b", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    planned = source_mixing.plan(docs)[0].collect()
+    taken = Counter()
+    for r in planned:
+        taken[r.doc_id, r["size"]] += r.copies
+    out = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mixing(spark, docs, folder).collect())
+    assert out == +taken and out[None, 3] >= 1

@@ -5,6 +5,8 @@ import os
 import random
 import re
 import zlib
+from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +124,7 @@ def test_pieces_equal_the_library(texts):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
-    own = P.encoder(P.MODEL)
+    own = P.encoder(Path(P.MODEL).read_bytes())
     for a, b, ids, first, _, _ in own.encode(pa.array(texts)):
         for i in range(a, b):
             mine = ids[first[i - a] : first[i - a + 1]]
@@ -130,11 +132,26 @@ def test_pieces_equal_the_library(texts):
             assert own.decode(mine).tobytes().decode()[1:] == texts[i]
 
 
+@needs_model
+def test_long_stretches_equal_the_library():
+    """Prose without spaces goes through the array, and what is longer through the merges."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("日本語の文章はthe国人大和") for _ in range(n)) for n in (10, 100, 400, 900)] + ["x" * 3000 + "theend", "ab" * 700]
+    for a, b, ids, first, _, _ in P.encoder(Path(P.MODEL).read_bytes()).encode(pa.array(texts)):
+        for i in range(a, b):
+            assert ids[first[i - a] : first[i - a + 1]].tolist() == library.encode(texts[i])
+
+
 @needs_model
 def test_encode_and_decode(spark, odd):
     encoded = P.encode(odd.where("doc_id not in (2, 10)"))
     back = {r.doc_id: r.text for r in P.decode(encoded).collect()}
     assert back == {r.doc_id: r.text or "" for r in odd.where("doc_id not in (2, 10)").collect()}
+    with_ids = P.encoded_digests(odd, with_ids=True)
+    assert with_ids.columns[-1] == "ids" and all(len(r.ids) == r.n_pieces for r in with_ids.collect())
     flags = {r.doc_id: r.round_trip for r in P.encoded_digests(odd).collect()}
     assert flags.pop(10) is False and all(flags.values())
 
@@ -151,20 +168,64 @@ def test_base_places(parts):
     assert {x for _, x in want} <= set(row["labels"].split(",")) | {""} and 0 <= row["score"] <= 1
 
 
+def labels_of(text):
+    return {r.label for _, _, r in L.matches(text.lower().encode())}
+
+
 def test_license_rules():
-    def labels(text):
-        return {r.label for _, _, r in L.matches(text.lower().encode())}
+    assert len(L.RULES) > 400 and len(L.SIGNATURES) > 120
+    assert labels_of("SPDX-License-Identifier: GPL-3.0") == {"gpl-3"}
+    assert labels_of("SPDX-License-Identifier: MIT OR Apache-2.0") == {"mit", "apache-2"}
+    assert labels_of("Licensed under the Apache License, Version 2.0") == {"apache-2"}
+    assert labels_of("Licensed under MIT-0.") == {"mit-0"} and labels_of("released under MPL 2.0") == {"mpl-2"}
+    assert labels_of("cc by-nc-sa 4.0") == {"cc-by-nc-sa"}
+    assert labels_of("Redistribution and use in source and binary forms, with or without modification, are permitted") == {"bsd-2"}
+    assert labels_of("he sat mit freunden by the sea") == set()
+    for rule_text in ("agpl v3", "licensed under the unlicense", "public domain dedication", "all rights reserved", "open rail m", "cc0 1.0", "copyright 2020", "released under ISC"):
+        assert gated(rule_text) and labels_of(rule_text)
+
+
+def gated(text):
+    w = tc.words(*tc.string_buffer(pa.array([text])), tc.ALNUM)
+    return L._gated(w.hash, np.zeros(len(w.hash), np.int64)) == {0}
+
+
+@pytest.mark.parametrize(("label", "spdx"), [(k, v.split("|")[0]) for k, v in L.IDS.items()])
+def test_spdx_lines(label, spdx):
+    spdx = re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(\?:(\w+).*", r"\1", spdx)).replace("?", "").replace("20[0-9]{2}", "2016")
+    assert label in labels_of(f"SPDX-License-Identifier: {spdx.replace(' ', '-')}") and label in labels_of(f"It is licensed under {spdx}, so")
 
-    assert len(L.RULES) > 200
-    assert labels("SPDX-License-Identifier: GPL-3.0") == {"gpl-3"}
-    assert labels("Licensed under the Apache License, Version 2.0") == {"apache-2"}
-    assert labels("cc by-nc-sa 4.0") == {"cc-by-nc-sa"}
-    assert labels("Redistribution and use in source and binary forms, with or without modification, are permitted") == {"bsd-2"}
-    assert labels("he sat mit freunden by the sea") == set()
-    for rule_text in ("agpl v3", "licensed under the unlicense", "public domain", "all rights reserved", "open rail m", "cc0 1.0", "copyright 2020"):
-        data = tc.string_buffer(pa.array([rule_text]))
-        w = tc.words(*data, tc.ALNUM)
-        assert L._gated(w.hash, np.zeros(len(w.hash), np.int64)) == {0} and labels(rule_text)
+
+def test_signatures_hold_their_keyword_and_gate():
+    """Every signature's own words, with its options left out, match it behind the prefilter and the gate."""
+    for label, _, pattern, _ in L.SIGNATURES:
+        text = re.sub(r"\(\?:([^|()]*)(?:\|[^()]*)?\)(?!\?|\*)", r"\1", re.sub(r"\(\?:[^()]*\)[?*]", "", re.sub(r"\(\?:[^()]*\)[?*]", "", pattern)))
+        text = re.sub(r"\.\{0,\d+\}\?", "xx ", text).replace("licen[cs]e", "license").replace("[0-9]{2}", "20").replace("[sz]", "s")
+        text = re.sub(r"\[(.)[^]]*\]", r"\1", text).replace("e?", "e").replace(" ?", " ")
+        assert label in labels_of(text), (label, text)
+        assert gated(text), text
+
+
+@given(st.lists(st.sampled_from("spdx license identifier mit mit 0 or apache 2 0 licensed under the gnu general public license version 2 lgpl cc by nc sa 4 0 all rights reserved public domain x".split()), max_size=40))
+@settings(max_examples=80, deadline=None)
+def test_labels_equal_brute_force(words):
+    """All rules without prefilter or gate, and suppression by comparing all intervals."""
+    joined = f" {' '.join(words)} ".encode()
+    found = [(*m.span(r.group), r) for r in L.RULES for m in r.pattern.finditer(joined)]
+    standing = []
+    for a, b, r in sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0])):
+        if not any(x <= a and b <= y for x, y, _ in standing):
+            standing.append((a, b, r))
+    want = [(joined.count(b" ", 0, a) - 1, joined.count(b" ", 0, b), r.label) for a, b, r in standing]
+    assert [(a, b, r.label) for a, b, r in L.matches(" ".join(words).encode())] == want
+
+
+def test_many_matches_are_linear():
+    import time
+
+    began = time.perf_counter()
+    assert len(L.matches(b"licensed under the apache license version 2 0 and cc by nc " * 20_000)) == 40_000
+    assert time.perf_counter() - began < 20
 
 
 def test_images():
@@ -190,10 +251,51 @@ def test_strips(monkeypatch):
     assert np.abs(M.area_resize(image, 8, 9) - whole).max() < 1e-9
 
 
-@pytest.mark.parametrize("form", ["pgm", "bmp"])
+def exact_cells(image, rows, columns):
+    """Area means by exact fractions of pixels."""
+    high, wide = len(image), len(image[0])
+
+    def shares(cells, size):
+        out = []
+        for k in range(cells):
+            low, top = Fraction(k * size, cells), Fraction((k + 1) * size, cells)
+            out.append([(i, min(top, i + 1) - max(low, i)) for i in range(int(low), min(size, int(top) + 1)) if min(top, i + 1) > max(low, i)])
+        return out
+
+    area = Fraction(high, rows) * Fraction(wide, columns)
+    return [[sum(p * q * int(image[i][j]) for i, p in ys for j, q in xs) / area for xs in shares(columns, wide)] for ys in shares(rows, high)]
+
+
+def test_reductions_equal_fractions():
+    rng = np.random.default_rng(2)
+    for shape in ((24, 24), (7, 24), (50, 13)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        cells = exact_cells(image.tolist(), 8, 9)
+        assert np.abs(M.area_resize(image, 8, 9) - np.array(cells, float)).max() < 1e-9
+        small = [[int(x * 256 + Fraction(1, 2)) for x in row] for row in cells]
+        bits = "".join("1" if a > b else "0" for row in small for a, b in zip(row, row[1:]))
+        assert M.difference_hash(image) == int(bits, 2)
+    colour = rng.integers(0, 256, (19, 11, 3), dtype=np.uint8)
+    tile = np.load(__import__("io").BytesIO(M.npy_tile(colour)))
+    assert tile.shape == (8, 8, 3) and all((np.abs(tile[..., c] - np.array(exact_cells(colour[..., c].tolist(), 8, 8), float)) <= 0.5 + 1e-9).all() for c in range(3))
+    assert M.difference_hash(np.repeat(image[..., None], 3, 2)) == M.difference_hash(image)
+
+
+@pytest.mark.parametrize("form", ["pgm", "bmp", "auto"])
 def test_text_images(odd, form):
     texts = {r.doc_id: r.text for r in odd.collect()}
+    kinds = set()
     for r in M.text_images(odd, form).collect():
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        rows = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+        pgm = b"P5\n24 %d\n255\n" % len(rows) + payload
+        kinds.add(r.media_sha256 == hashlib.sha256(pgm).hexdigest())
+        assert r.media_bytes == len(pgm) if kinds == {True} and form == "pgm" else r.media_bytes >= len(payload)
+        assert np.load(__import__("io").BytesIO(r.tile)).shape == (8, 8)
+        if len(rows) < 500:
+            cells = exact_cells(rows.tolist(), 8, 9)
+            small = [[int(x * 256 + Fraction(1, 2)) for x in row] for row in cells]
+            assert r.feature == f"{int(''.join('1' if a > b else '0' for row in small for a, b in zip(row, row[1:])), 2):016x}"
+    assert kinds == {"pgm": {True}, "bmp": {False}, "auto": {True, False}}[form]

@@ -15,7 +15,7 @@ from . import tables
 ONE_TASK_EDGES = 1_000_000
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of a stored table of edges (a, b): the smallest node it reaches.
 
     Up to ``ONE_TASK_EDGES`` counted edges go to one task of an executor; more are solved by
@@ -26,7 +26,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     if edges.count() <= ONE_TASK_EDGES:
         return edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "node long, label long")
-    return _stars(edges, rounds)
+    return _stars(edges)
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,10 +51,10 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], ["node", "label"])
 
 
-def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
     state = tables.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

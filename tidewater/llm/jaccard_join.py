@@ -25,6 +25,9 @@ Steps, each over all documents or all that remain open, with no cap on group or
    first the best of each node and component are verified, then, with the components that follow,
    all that are left.  Pairs inside a component need no check, as only the component is asked for.
 
+The groups of a grouped step are as many as its counted input needs, whatever the number of shuffle
+partitions, so a task's memory does not follow the corpus.
+
 Sizes, ties, repeated rows: repeated documents, also repeated ids, are rows of the result each.
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
 Documents without an id link like any other, but name no component; one of only such has a null
@@ -52,8 +55,8 @@ BLOCK = 4096
 STAR = 256
 #: Pairs of a node and another component that are verified first.
 BEST = 2
-#: Rows up to which a table of (doc_id, node) is broadcast, 16 MB; beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: What one call of a grouped step gets on average: elements (16 bytes each), and bytes of sets or points.
+ELEMENTS, BYTES = 1 << 21, 48 << 20
 
 _CLASS_STARTS = [1]
 while _CLASS_STARTS[-1] < 1 << 40:
@@ -198,7 +201,7 @@ _TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())]
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each wanted node's set as bytes, once for each block that it belongs to."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("node", pa.int64()), ("center", pa.bool_()), ("members", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("center", pa.bool_()), ("members", pa.binary())])
     for batch in batches:
         blocks, wanted = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         rows, held = [], 0
@@ -207,7 +210,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node != wanted[row]:
                 continue
             for x in blocks[row]:
-                rows.append((x["part"], x["block"], node, x["center"], raw))
+                rows.append((x["block"], node, x["center"], raw))
                 held += len(raw)
             if held > 1 << 24:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -250,17 +253,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _verify(documents: DataFrame, names: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+def _parts(spark: SparkSession, total: int | float | None, each: int) -> int:
+    """Groups for so much input: as many as there are shuffle partitions, or so many that none gets more than ``each``."""
+    return max(tables.shuffle_partitions(spark), -(-int(total or 0) // each))
+
+
+def _verify(documents: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) that are linked.  Pairs meet at b, in blocks of about STAR members."""
     spark = documents.sparkSession
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("salts"))
     salted = pairs.join(sizes, "b")
     members = salted.select(F.col("a").alias("node"), F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))).alias("block"), F.lit(False).alias("center"))
     centers = sizes.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("node", F.xxhash64("b", F.col("salt").cast("long")).alias("block"), F.lit(True).alias("center"))
-    wanted = members.unionByName(centers).withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).groupBy("node").agg(F.collect_set(F.struct("part", "block", "center")).alias("blocks"))
-    wanted = tables.stored(wanted.join(names, "node").select("doc_id", "handle", "node", "blocks"), "wanted")
-    blocks = _joined(documents, wanted).select("text", "blocks", "node").mapInArrow(_sets, "part int, block long, node long, center boolean, members binary")
-    found = blocks.groupBy("part").applyInArrow(_verified, "a long, b long")
+    wanted = members.unionByName(centers).groupBy("node").agg(F.collect_set(F.struct("block", "center")).alias("blocks"))
+    wanted = tables.stored(wanted.join(names, "node").select("doc_id", "handle", "node", "n_shingles", "blocks"), "wanted")
+    parts = _parts(spark, wanted.agg(F.sum(F.size("blocks") * F.col("n_shingles") * 8)).first()[0], BYTES)
+    blocks = _joined(documents, wanted.drop("n_shingles")).select("text", "blocks", "node").mapInArrow(_sets, "block long, node long, center boolean, members binary")
+    found = blocks.withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_verified, "a long, b long")
     return tables.stored(found.distinct(), "links")
 
 
@@ -271,7 +280,7 @@ def _joined(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     equal ones.
     """
     small = wanted.agg(F.count("*"), F.sum(F.size("blocks")), F.count_if(F.col("doc_id").isNull())).first()
-    fits = small[0] <= BROADCAST_ROWS and (small[1] or 0) <= BROADCAST_ROWS
+    fits = small[0] <= tables.BROADCAST_ROWS and (small[1] or 0) <= tables.BROADCAST_ROWS
     of = F.broadcast if fits else lambda x: x
     out = documents.where("doc_id is not null").join(of(wanted.where("doc_id is not null")), ["doc_id", "handle"])
     if small[2]:
@@ -381,7 +390,7 @@ def _tree_pairs(best: int | None):
 MEMBER, QUERY, BOTH = 0, 1, 2
 
 
-def _open_pairs(ties: DataFrame, points: DataFrame, labels: DataFrame, parts: int, best: int | None) -> DataFrame | None:
+def _open_pairs(ties: DataFrame, points: DataFrame, labels: DataFrame, best: int | None) -> DataFrame | None:
     """Pairs still to be verified: those of nodes tied to one node, of different components."""
     unresolved = tables.stored(_labelled(ties, labels).where("la <> lb").select("a", "b"), "open")
     if unresolved.isEmpty():
@@ -391,6 +400,7 @@ def _open_pairs(ties: DataFrame, points: DataFrame, labels: DataFrame, parts: in
     tied = ties.join(unresolved.select("b").distinct(), "b", "left_semi").select("b", F.col("a").alias("node"), F.lit(0).alias("asks"))
     groups = tied.unionByName(asks).unionByName(centers).groupBy("b", "node").agg(F.max("asks").alias("asks"))
     groups = tables.stored(groups, "groups")
+    parts = _parts(ties.sparkSession, groups.count() * float(points.agg(F.avg(F.octet_length("counts"))).first()[0] or 0), BYTES)
     sizes = groups.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("salts"))
     dealt = groups.join(sizes, "b").withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     salts = F.when(F.col("asks") == 1, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("own"))
@@ -413,11 +423,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, node (identity of the shingle set), handle (hash of the text)
     and label (identity of the component, null without shingles) of every document row."""
     spark: SparkSession = documents.sparkSession
-    parts = tables.shuffle_partitions(spark)
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("handle", F.xxhash64("text"))
     nodes = tables.stored(documents.mapInArrow(_nodes, NODES), "nodes")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle")
-    names = tables.stored(nodes.where("node >= 0").groupBy("node").agg(F.min(named).alias("x")).select("node", "x.doc_id", "x.handle"), "names")
+    names = tables.stored(nodes.where("node >= 0").groupBy("node", "n_shingles").agg(F.min(named).alias("x")).select("node", "n_shingles", "x.doc_id", "x.handle"), "names")
+    # a set of n shingles gives at most 2n / 9 + 1 elements in each of two or three size classes
+    parts = _parts(spark, names.agg(F.sum(F.col("n_shingles") * 0.5 + 3)).first()[0], ELEMENTS)
     packed = documents.select("text").mapInArrow(_packed(parts), "part int, elements binary, nodes binary, counts binary")
     ties = tables.stored(packed.groupBy("part").applyInArrow(_ties, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared")), "ties")
     tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -425,20 +436,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     points = tables.stored(_joined(documents, wanted).select("text", "node").mapInArrow(_points, "node long, counts binary").dropDuplicates(["node"]), "points")
     possible = _possible(ties, points)
     best = possible.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = _verify(documents, names, best, parts)
+    links = _verify(documents, names, best)
     labels = tables.stored(components.connected(links), "labels")
     for step in (0, 1, 2):
         if step == 0:
             pairs = tables.stored(_labelled(possible, labels).where("la <> lb").select("a", "b"), "rest")
         else:
-            pairs = _open_pairs(ties, points, labels, parts, BEST if step == 1 else None)
+            pairs = _open_pairs(ties, points, labels, BEST if step == 1 else None)
         if pairs is not None and not pairs.isEmpty():
-            links = tables.stored(links.unionByName(_verify(documents, names, pairs, parts)), "all")
+            links = tables.stored(links.unionByName(_verify(documents, names, pairs)), "all")
             labels = tables.stored(components.connected(links), "labels")
     # a node outside all links is its own component, named by its smallest document
     least = labels.join(names, "node").groupBy("label").agg(F.min("doc_id").alias("least"))
     of_node = names.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("label"))
-    return nodes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "handle", "label")
+    whole = nodes.where("node >= 0").join(of_node, "node", "left").select("doc_id", "n_shingles", "component_id", "node", "handle", "label")
+    bare = nodes.where("node < 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", "handle", F.lit(None).cast("long").alias("label"))
+    return whole.unionByName(bare)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,22 +33,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster names for checkpoints; one of our own only where driver and executors are one process."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(partition_by)
-    out.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,8 +55,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of two or three numbers up to which ``narrow`` broadcasts, about 24 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of two or three numbers up to which a table is broadcast, about 6 MB; a plan has some 24 such joins.
+BROADCAST_ROWS = 1 << 18
 
 
 def narrow(df: DataFrame) -> DataFrame:
