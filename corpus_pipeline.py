@@ -6,12 +6,17 @@ written as Parquet and read again as the next one's docs.  All but the last retu
 
 1. quality: documents that the line classifier scores below its threshold go.
 2. toxicity: documents that the clause grammar scores at its threshold or above go.
-3. near_duplicates: of each component of near copies the document with the smallest id stays.
-   Documents with an id come before those without; of a component of only the latter one stays.
-   Texts without words are copies of nothing and stay; of several rows with one id, one stays.
+3. near_duplicates: of each component of near copies the document with the smallest id stays, whether
+   or not other components hold that id; of several texts with that id the one of the smallest hash,
+   and of several rows of that text the one whose JSON is smallest.  Documents with an id come before
+   those without; of a component of only the latter one stays.  Rows without words are copies of nothing
+   and all stay.
 4. mixing: each row is repeated as often as the mix of its source takes it, perhaps not at all; the
    copies are sorted by their shard and shuffled inside it.
-5. sentencepiece: each row's encoding, as counts and a digest, with the check that it decodes back.
+5. sentencepiece: each row's encoding: the ids, counts, a digest and the check that it decodes back.
+
+Null, empty and very long texts pass every stage as the operators say; empty tables give empty tables.
+Extra columns are carried along; names that clash with an operator's own are kept apart.
 """
 
 from __future__ import annotations
@@ -43,20 +48,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
     found = jaccard_join.near_duplicates(docs)
-    texts = tables.stored(found.groupBy("label", "doc_id", "handle").agg(F.count("*").alias("rows")), "texts")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle", "rows")).alias("x")
-    kept = tables.stored(texts.where("label is not null").groupBy("label").agg(least).select("x.*"), "kept")
-    named = kept.where("not unnamed").drop("unnamed").unionByName(texts.where("label is null and doc_id is not null").drop("label"))
-    named = named.groupBy("doc_id").agg(F.min(F.struct("handle", "rows")).alias("x")).select("doc_id", "x.*")
-    bare = texts.where("label is null and doc_id is null").select("doc_id", "handle", F.lit(1).cast("long").alias("rows"))
-    first = tables.stored(named.unionByName(kept.where("unnamed").drop("unnamed")).unionByName(bare), "first")
+    rows = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle").alias("row")
+    texts = found.where("label is not null").groupBy("label", rows).agg(F.count("*").alias("rows"))
+    kept = texts.groupBy("label").agg(F.min(F.struct("row", "rows")).alias("x")).select("x.row.doc_id", "x.row.handle", "x.rows")
+    bare = found.where("label is null").select("doc_id", "handle", F.lit(1).cast("long").alias("rows")).distinct()
+    first = tables.stored(kept.unionByName(bare), "first")
     docs_by = docs.withColumn(HANDLE, F.xxhash64(F.col("text").cast("string")))
 
-    def rows(which: str) -> DataFrame:
+    def of(which: str) -> DataFrame:
         own = tables.narrow(first.where(which).select(F.col("doc_id").alias("own id"), F.col("handle").alias("own handle")))
         return docs_by.join(own, F.col("doc_id").eqNullSafe(F.col("own id")) & (F.col(HANDLE) == F.col("own handle")), "left_semi")
 
-    return rows("rows = 1").unionByName(rows("rows > 1").dropDuplicates(["doc_id", HANDLE])).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = of("rows > 1").groupBy("doc_id", HANDLE).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return of("rows = 1").select(*docs.columns).unionByName(repeated)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
-    return suffix_pieces.encoded_digests(docs)
+    return suffix_pieces.encoded_digests(docs, with_ids=True)
 
 
 STAGES = [
