@@ -585,3 +585,19 @@ def test_mixing_loses_no_row(spark, folder):
         taken[r.doc_id, r["size"]] += r.copies
     out = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mixing(spark, docs, folder).collect())
     assert out == +taken and out[None, 3] >= 1
+
+
+def test_urls_without_a_scheme_are_dealt(spark):
+    """They join nothing, and equal keys of page ids can't meet a rule."""
+    rows = [(i, "no scheme") for i in range(50)] + [(100, None), (None, ""), (101, "http://example.com/en/"), (102, "http:///en/"), (103, "x://")]
+    got = {r.page_id: (r.host, r.path, r.rule) for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got.pop(101) == ("example.com", "/en/", "example.com/en/") and got.pop(102) == ("", "/en/", None)
+    assert set(got.values()) == {("", "", None)} and len(got) == 53
+
+
+def test_the_pipeline_keeps_what_it_needs_only(spark, folder):
+    from tidewater.llm import tables
+
+    out = corpus_pipeline.run(spark, folder)
+    assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in tables._written.paths[-1:]] == ["stage-mixing"] and out.count() > 0
+    assert all(len(r.ids) == r.n_pieces for r in out.collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -43,10 +44,34 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+class _Written(threading.local):
+    """Folders of the tables that a thread has stored."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
+
+
+def written() -> int:
+    """How many tables this thread has stored so far."""
+    return len(_written.paths)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables stored since then, but for the newest, which nothing else depends on any more."""
+    for place in _written.paths[since:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _written.paths[since:-1]
+
+
 def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.paths.append(path)
     (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,9 +9,10 @@ Only suffixes of as many labels and prefixes of as many characters as some rule
 a URL gives at most labels x lengths rows, however long it is.  Equal (host, path) pairs are judged
 once, so a host that a third of all pages share costs one row for each of its paths.
 
-Null URLs and URLs without ``://`` have an empty host and path, which no rule fits.  Repeated rows
-are rows of the result each; a null page_id stays.  Extra columns are ignored.  Everything is
-DataFrame functions.
+Null URLs and URLs without ``://`` have an empty host and path, which no rule fits; they are dealt by
+their page ids, so they don't meet in one task.  Very long URLs are judged whole.  Repeated rows are
+rows of the result each; a null page_id stays.  Extra columns are ignored.  Everything is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     lengths = sorted({len(p) for _, _, p in rules})
     host, path = host_and_path(F.coalesce(F.col("url").cast("string"), F.lit("")))
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = named.select("host", "path").distinct()
+    known = named.where("host <> '' or path <> ''").select("host", "path").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.array_compact(F.array(*(F.when(F.size(parts) >= n, F.substring_index("host", ".", -n)) for n in labels)))
     prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)))
@@ -63,7 +64,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
     fits = expressions.join(table, "prefix").where(F.col("digest") == F.col("rule_digest"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "rule", "rule_verdict")).alias("best"))
-    return named.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    # a rule's path isn't empty, so no key made of a page id meets one
+    bare = (F.col("host") == "") & (F.col("path") == "")
+    named = named.withColumn("key", F.when(bare, F.xxhash64("page_id").cast("string")).otherwise(F.col("host")))
+    best = best.withColumnRenamed("host", "key")
+    return named.join(best, ["key", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
