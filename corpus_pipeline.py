@@ -87,8 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = tables.read(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage stored on its way goes when its result is there."""
+    docs, began = tables.read(spark, sf_dir, "documents"), tables.written()
     for name, stage in STAGES[:-1]:
         docs = tables.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        tables.release(spark, began)
     return STAGES[-1][1](spark, docs, sf_dir)
