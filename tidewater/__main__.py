@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from tidewater import slt
-from tidewater.plans.tokens import render, statements, tokenize
+from tidewater.plans.tokens import statements, tokenize
 from tidewater.session import connect
 
 
@@ -19,12 +19,12 @@ def main(args: list[str]) -> int:
         print(f"{slt.run(session, Path(args[1]).read_text())} records passed")
         return 0
     for tokens in statements(tokenize(sys.stdin.read())):
-        result = session.execute(render(tokens))
+        result = session.run(tokens)
         if result.frame is not None:
             result.frame.show(truncate=False)
         else:
             print(f"{result.kind}: {result.rows} rows")
-    session.flush()
+    session.close()
     return 0
 
 
