@@ -65,7 +65,7 @@ def ingest_csv(session, path: str, table: str, mapping: dict[str, str] | None =
     key = session.key(table.split("."))
     session.flush()
     if key not in session.state.tables:
-        session.put(Table(key, tuple(TableColumn(f.name, f.dataType.simpleString()) for f in rows.schema)))
+        return dml.insert_frame(session, Table(key, tuple(TableColumn(f.name, f.dataType.simpleString()) for f in rows.schema)), (), rows, fresh=True)
     return dml.insert_frame(session, session.table(key), tuple(rows.columns), rows)
 
 
