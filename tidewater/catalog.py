@@ -65,6 +65,11 @@ class Table:
     temporary: bool = False
     external: DataFrame | None = None
 
+    @property
+    def own_name(self) -> str:
+        """The name without its schema, by which expressions may qualify columns."""
+        return self.key.rpartition(".")[2]
+
     def names(self) -> list[str]:
         return [c.name for c in self.columns]
 
@@ -82,14 +87,14 @@ class Table:
         if self.external is not None:
             return self.external if ROWID in self.external.columns else self.external.withColumn(ROWID, F.monotonically_increasing_id())
         if not self.segments:
-            return spark.createDataFrame([], self.schema())
+            return spark.createDataFrame([], self.schema()).alias(self.own_name)
         return self.rows_of(spark, self.segments)
 
     def rows_of(self, spark: SparkSession, segments: tuple[str, ...], *others) -> DataFrame:
         """Rows of some segments, and ``others`` of their files' metadata."""
         schema = ", ".join([f"`{c.physical}` {c.type}" for c in self.columns] + [f"{ROWID} bigint"])
         rows = spark.read.schema(schema).parquet(*segments)
-        return rows.select(*[F.col(f"`{c.physical}`").alias(c.name) for c in self.columns], ROWID, *others)
+        return rows.select(*[F.col(f"`{c.physical}`").alias(c.name) for c in self.columns], ROWID, *others).alias(self.own_name)
 
     def located(self, spark: SparkSession) -> DataFrame:
         """All rows with the name of their segment as ``tw_segment``."""

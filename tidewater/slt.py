@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Row
+
 from tidewater.plans.tokens import DialectError
 from tidewater.session import Session
 
@@ -32,6 +34,8 @@ def shown(value, kind: str) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(int(value))
+    if isinstance(value, Row):
+        return "{" + ", ".join(f"'{k}': {shown(v, 'T')}" for k, v in value.asDict().items()) + "}"
     if kind == "R":
         return f"{float(value):.3f}"
     if kind == "I" and not isinstance(value, str):
@@ -61,7 +65,11 @@ def run(session: Session, text: str, engine: str = "tidewater") -> int:
             break
         if head[0] not in ("statement", "query"):
             continue
-        name = head[2] if len(head) > 2 and head[0] == "statement" else head[3] if len(head) > 3 else ""
+        words = [w for w in head[2:] if w not in ("nosort", "rowsort", "valuesort")]
+        mode = next((w for w in head[2:] if w not in words), "nosort")
+        name = words[0] if words else ""
+        if head[0] == "query" and name not in sessions and not name.startswith("con"):
+            name = ""  # a label
         own = sessions.setdefault(name, Session(session.spark, session.database))
         cut = block.index("----") if "----" in block else len(block)
         sql, expected = "\n".join(block[1:cut]), block[cut + 1 :]
@@ -84,10 +92,10 @@ def run(session: Session, text: str, engine: str = "tidewater") -> int:
             continue
         kinds = head[1]
         rows = [[shown(v, kinds[i] if i < len(kinds) else "T") for i, v in enumerate(r)] for r in own.sql(sql).collect()]
-        mode = head[2] if len(head) > 2 else "nosort"
         rows = sorted(rows) if mode == "rowsort" else rows
         got = [v for r in rows for v in r]
-        want = [v for x in expected for v in (x.split("\t") if len(kinds) > 1 and "\t" in x else [x])]
+        by_row = len(kinds) > 1 and len(expected) == len(rows) and all(len(x.split("\t" if "\t" in x else None)) == len(kinds) for x in expected)
+        want = [v for x in expected for v in (x.split("\t" if "\t" in x else None) if by_row else x.split("\t") if "\t" in x else [x])]
         if mode == "valuesort":
             got, want = sorted(got), sorted(want)
         elif mode == "rowsort" and want and len(want) % len(kinds) == 0:
