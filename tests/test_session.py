@@ -419,6 +419,19 @@ def test_gather(db):
     assert table.gather([]).collect() == []
 
 
+def test_command_line(spark, monkeypatch, capsys, tmp_path):
+    import io
+
+    from tidewater.__main__ import main
+
+    monkeypatch.setattr("sys.stdin", io.StringIO("create table t (a text); insert into t values ('x\\n;y'); select a, length(a) as n from t;"))
+    assert main([]) == 0
+    out = capsys.readouterr().out
+    assert "insert: 1 rows" in out and "|x\\n;y|5" in out
+    (tmp_path / "a.slt").write_text("query I\nSELECT 1 + 1\n----\n2\n")
+    assert main(["--slt", str(tmp_path / "a.slt")]) == 0 and "1 records passed" in capsys.readouterr().out
+
+
 def test_plan_graph(spark):
     graph = plan_graph(spark.range(5).where("id > 1").groupBy("id").count())
     assert graph.edges and "digraph" in graph.to_dot() and '"operator"' in graph.to_json()

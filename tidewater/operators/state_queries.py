@@ -9,6 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.operators.frame import JoinOptions
+from tidewater.plans.graph import plan_graph
+from tidewater.plans.tokens import DialectError
 from tidewater.session import Session, connect
 from tidewater.sources import csvio
 from tidewater.streaming import events as streams
@@ -130,6 +133,98 @@ QUERIES["gather_rows"] = _gathered
 ORACLE["gather_rows"] = "select * from (values (0, 'include', 3, 'z'), (1, 'include', null, null), (2, 'include', null, null), (3, 'include', 1, 'x'), (4, 'drop', 3, 'z'), (5, 'drop', 1, 'x')) t(place, policy, a, b)"
 
 
+def outcomes(name: str, statements: list[tuple[str, bool]], setup: str = "") -> None:
+    """Which statements are refused, by their place; the flags are what must come out."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = connect(spark)
+        session.register("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+        session.execute(setup)
+        rows = []
+        for place, (text, _) in enumerate(statements):
+            try:
+                session.execute(text)
+                rows.append((place, False))
+            except DialectError:
+                rows.append((place, True))
+        return spark.createDataFrame(rows, "place int, refused boolean")
+
+    QUERIES[name] = run
+    ORACLE[name] = "select * from (values " + ", ".join(f"({i}, {str(refused).lower()})" for i, (_, refused) in enumerate(statements)) + ") t(place, refused)"
+
+
+PARENTS = "create table p (a integer primary key, b text unique, c integer not null default 4, d integer check (d < 10)); create table q (x integer references p(a), y integer, unique (x, y)); insert into p (a, b, d) values (1, 'x', 1), (2, null, null); insert into q values (1, 1)"
+outcomes(
+    "constraints_enforced",
+    [
+        ("insert into p (a) values (1)", True), ("insert into p (a, b) values (3, 'x')", True), ("insert into p values (3, 'y', null, 1)", True), ("insert into p (a, d) values (3, 10)", True),
+        ("insert into p (a, b, d) values (3, null, 9)", False), ("insert into q values (9, 1)", True), ("insert into q values (null, 1)", False), ("insert into q values (1, 1)", True),
+        ("update p set a = 1 where a = 2", True), ("update p set d = 11", True), ("delete from p where a = 1", True), ("delete from p where a = 2", False), ("drop table p", True), ("truncate table p", True),
+    ],
+    PARENTS,
+)
+outcomes("insert_or_abort", [("insert or abort into p (a) values (5), (1)", True), ("insert or fail into p (a) values (5), (1)", True), ("insert or rollback into p (a) values (5), (1)", True), ("insert or abort into p (a) values (5)", False), ("insert or fail into p (a) values (5)", True)], PARENTS)
+outcomes(
+    "unique_index",
+    [("create unique index i on c (nation)", True), ("create unique index i on c (name)", False), ("create index i on c (id)", True), ("create index if not exists i on c (id)", False), ("insert into c select 100000001, name, 1, 1 from c where id = 1", True), ("reindex i", False), ("vacuum reindex i", False), ("reindex j", True), ("drop index i", False), ("drop index if exists i", False), ("insert into c select 100000001, name, 1, 1 from c where id = 1", False)],
+    COPY,
+)
+outcomes("pragma_verification", [("pragma enable_verification", False), ("pragma disable_verification", False), ("pragma nothing", True), ("set immediate_transaction_mode = true", False), ("set constraint_enforcement_mode = 'deferred'", False), ("set constraint_enforcement_mode = sometimes", True), ("set nothing = 1", True)])
+outcomes("union_strictness", [("select c_custkey from customer union select c_acctbal from customer", False), ("select c_custkey from customer union select c_name from customer", True), ("select c_custkey from v intersect select c_custkey from v", False), ("select c_custkey from v union select c_acctbal from w", True), ("select c_custkey from v except select c_custkey, c_name from customer", True)], "create view v as select c_custkey from customer; create view w as select c_acctbal from customer")
+def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = connect(spark)
+    session.execute("create type amount as integer; create table t (a amount, b text); insert into t values (1, 'x'), (2, 'y'), ; create index i on t (a); reindex i; create table t2 as values (1), (5)")
+    return session.sql("select * exclude (b) from t indexed by i where a in (1, 2,) and b not in () and a in t2")
+
+
+QUERIES["text_preprocessors"] = _preprocessed
+ORACLE["text_preprocessors"] = "select 1 as a"
+
+
+def _arrow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A built table with rows, Arrow batches and a frame put into it."""
+    session = connect(spark)
+    session.register("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    handle = session.create_table("n").with_not_null_column("id", "bigint").with_column("name", "text").finish()
+    arrow = session.sql("select n_nationkey as id, n_name as name from nation where n_nationkey < 20").toArrow()
+    handle.insert_batches(arrow)
+    handle.insert_lazy(session.scan("nation").filter("n_nationkey >= 20").select(id="n_nationkey", name="n_name"))
+    handle.insert_rows([{"id": 100, "name": "None"}, {"id": 101, "name": None}])
+    return handle.lazy().frame
+
+
+QUERIES["arrow_batches"] = _arrow_batches
+ORACLE["arrow_batches"] = "select n_nationkey as id, n_name as name from nation union all select * from (values (100, 'None'), (101, null)) t(id, name)"
+
+
+def _join_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a streamed join: their rows, and that none is larger than asked for."""
+    session = connect(spark)
+    for t in ("nation", "region"):
+        session.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    batches: list = []
+    session.scan("nation").join_stream(session.scan("region"), [("n_regionkey", "r_regionkey")], batches.append, options=JoinOptions(batch_size=7))
+    rows = [(n, r, max(b.num_rows for b in batches) <= 7) for b in batches for n, r in zip(b.column("n_name").to_pylist(), b.column("r_name").to_pylist(), strict=True)]
+    return spark.createDataFrame(rows, "nation string, region string, small boolean")
+
+
+QUERIES["join_stream"] = _join_stream
+ORACLE["join_stream"] = "select n_name as nation, r_name as region, true as small from nation join region on n_regionkey = r_regionkey"
+
+
+def _plan_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operators of a plan as a graph's nodes."""
+    session = connect(spark)
+    session.register("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    graph = plan_graph(session.sql("select n_regionkey, count(*) as n from nation where n_nationkey > 3 group by n_regionkey order by n"))
+    operators = {n for n, _ in graph.nodes}
+    return spark.createDataFrame([(x, x in operators, len(graph.edges) == len(graph.nodes) - 1, f'label="{x}"' in graph.to_dot()) for x in ("Sort", "Aggregate", "Filter", "Window")], "operator string, there boolean, tree boolean, drawn boolean")
+
+
+QUERIES["plan_graph"] = _plan_graph
+ORACLE["plan_graph"] = "select * from (values ('Sort', true, true, true), ('Aggregate', true, true, true), ('Filter', true, true, true), ('Window', false, true, false)) t(operator, there, tree, drawn)"
+
+
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = connect(spark)
     path = f"{session.database.folder}/csv"
