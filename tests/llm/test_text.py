@@ -69,8 +69,10 @@ def mutated(rng, words, n):
     return out
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("seen", [2, 32])
+def test_near_duplicates(spark, monkeypatch, seen):
     """Families of copies with more and more changes, shared passages, short texts and ties."""
+    monkeypatch.setattr(J, "SEEN", seen)
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(60)]
     texts, k = [], 0
@@ -90,6 +92,28 @@ def test_near_duplicates(spark, monkeypatch):
     assert len(set(label.values())) < len(label) - 30
 
 
+def test_frequent_elements_come_last():
+    """Linked sets share one of their first elements, whichever elements are the frequent ones."""
+    rng = np.random.default_rng(12)
+    for n in (3, 9, 20, 60, 200, 900):
+        s = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        for _ in range(8):
+            out, new = rng.random(n) < 0.05, rng.integers(0, 1 << 64, n // 20, dtype=np.uint64)
+            t = np.unique(np.concatenate([s[~out], new]))
+            if not len(t) or not J.linked(J.overlap(s, t), len(s), len(t)):
+                continue
+            every = np.unique(np.concatenate([e for x in (s, t) for e, _ in J.all_elements(x)]))
+            for share in (0, 0.3, 0.9, 1):
+                common = np.sort(every[rng.random(len(every)) < share])
+                a, b = J.elements(s, common), J.elements(t, common)
+                assert np.isin(a, b).any() and len(a) == len(J.elements(s, common[:0]))
+    passage = np.sort(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    own = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 300, dtype=np.uint64)])) for _ in range(50)]
+    kinds, count = np.unique(np.concatenate([e for x in own for e, _ in J.all_elements(x)]), return_counts=True)
+    assert not any(np.isin(J.elements(x, kinds[count > 10]), kinds[count > 10]).any() for x in own)
+    assert sum(np.isin(J.elements(x, kinds[:0]), kinds[count > 10]).any() for x in own) > 25
+
+
 def test_stars_equal_union_find(spark, monkeypatch):
     from tidewater.llm import components as C
 

@@ -8,14 +8,19 @@ A tree over the whole corpus would compare nearly all pairs, since in so many di
 overlaps every query.  So points meet in a tree only if their sets agree in a whole group: with
 |A ^ B| <= (|A| + |B|) / 9 =: k (which is what a similarity of 0.8 means) at most k of the groups
 that A fills can differ from B's.  Each filled group gives an element, the hash of its number and its
-contents, and by the prefix principle two linked sets share one of their k + 1 smallest elements.
-The number of groups is fixed per size class, so that groups hold about three shingles; one shared
-passage therefore seldom makes two sets agree in a group.
+contents, and by the prefix principle two linked sets share one of their k + 1 first elements in any
+order that is the same for all.  That order is by hash, but elements that many nodes hold come last, so
+a passage that many documents share ties none of them that has enough elements of its own.  The number
+of groups is fixed per size class, so that groups hold about three shingles; one shared passage
+therefore seldom makes two sets agree in a group.
 
 Steps, each over all documents or all that remain open, with no cap on group or candidates:
 
-1. Each text gives its node (the hash of its shingle set, so exact copies are one node) and its
-   elements, packed in blocks of about 9 bytes an element, one block per batch and partition.
+1. Each text gives its node (the hash of its shingle set, so exact copies are one node).  Elements
+   that ``SEEN`` nodes or more of a run of ``RUN`` elements hold are counted, and the ``COMMON`` most
+   frequent of all runs come last in the order; which these are decides about work only.  Then each
+   text gives its first elements, packed in blocks of about 9 bytes an element, one block per batch
+   and partition.
 2. Each partition finds the nodes that share an element and ties each to the smallest of them.
    Tied nodes get their points, and ties that the bound rules out are not verified.
 3. Each node is verified against the node that it shares most elements with; components follow.
@@ -28,10 +33,11 @@ Steps, each over all documents or all that remain open, with no cap on group or
 The groups of a grouped step are as many as its counted input needs, whatever the number of shuffle
 partitions, so a task's memory does not follow the corpus.
 
-Sizes, ties, repeated rows: repeated documents, also repeated ids, are rows of the result each.
+Sizes, ties, repeated rows: repeated documents, also repeated ids, are rows of the result each.  A
+similarity of exactly 0.8 links.  Very long texts are cut in windows and are one set each.
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
 Documents without an id link like any other, but name no component; one of only such has a null
-component_id.  Extra columns are ignored.
+component_id.  Extra columns are ignored, whatever their names, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +61,8 @@ BLOCK = 4096
 STAR = 256
 #: Pairs of a node and another component that are verified first.
 BEST = 2
+#: Frequent elements: nodes of a run that hold one, elements of a run, and how many are known to all tasks (4 MB).
+SEEN, RUN, COMMON = 32, 1 << 21, 1 << 19
 #: What one call of a grouped step gets on average: elements (16 bytes each), and bytes of sets or points.
 ELEMENTS, BYTES = 1 << 21, 48 << 20
 
@@ -84,21 +92,42 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(both[:1] * U64(3) + mix(both[1:] + U64(len(s))))[0] >> U64(1)) if len(s) else -1
 
 
-def elements(s: np.ndarray) -> np.ndarray:
-    """The elements by which a set meets its possible partners."""
+def all_elements(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each size class in which a set may meet a partner its elements, and how many of them may differ."""
     n, out = len(s), []
     contents = mix(s ^ U64(0xA5A5A5A5A5A5A5A5))
     high = s >> U64(32)
     own = size_class(n)
     for c in range(size_class(-(-4 * n // 5)), own + 1):
-        k = (n + n * 5 // 4) // 9 if c == own else 2 * n // 9
         group = (high * U64(groups_of_class(c))) >> U64(32)
         starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
-        e = mix(np.add.reduceat(contents, starts) ^ mix(group[starts] + U64(c << 48)))
-        out.append(np.partition(e, k)[: k + 1] if len(e) > k + 1 else e)
+        out.append((np.add.reduceat(contents, starts) ^ mix(group[starts] + U64(c << 48)), (n + n * 5 // 4) // 9 if c == own else 2 * n // 9))
+    return [(mix(e), k) for e, k in out]
+
+
+def is_common(e: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which elements are among the sorted frequent ones."""
+    if not len(common):
+        return np.zeros(len(e), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, e), len(common) - 1)] == e
+
+
+def elements(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The elements by which a set meets its possible partners: the first of each class, frequent ones last."""
+    out = []
+    for e, k in all_elements(s):
+        if len(e) > k + 1:
+            last = is_common(e, common)
+            rare, rest = e[~last], e[last]
+            e = _smallest(rare, k + 1) if len(rare) > k else np.concatenate([rare, _smallest(rest, k + 1 - len(rare))])
+        out.append(e)
     return np.concatenate(out)
 
 
+def _smallest(e: np.ndarray, n: int) -> np.ndarray:
+    return np.partition(e, n - 1)[:n] if len(e) > n else e
+
+
 def point(s: np.ndarray) -> np.ndarray:
     """Counts of a set in a power of two of groups, as many as it has shingles and DIMS at least.
 
@@ -132,18 +161,41 @@ def folded(points: np.ndarray, dims: int) -> np.ndarray:
 
 # -- step 1 and 2: nodes, elements, ties ---------------------------------------------------------
 
-NODES = "doc_id long, n_shingles long, node long, handle long"
+NODES = "doc_id long, n_shingles long, node long, handle long, holders long"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text; and for frequent elements of a run one with the element as node, and its holders."""
+    names = [f.split()[0] for f in NODES.split(", ")]
     for batch in batches:
         n, node = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
+        seen: set[int] = set()
+        run, held = [], 0
         for row, s in distinct_shingles(batch.column(1)):
             n[row], node[row] = len(s), node_of(s)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), batch.column(2)], ["doc_id", "n_shingles", "node", "handle"])
-
-
-def _packed(parts: int):
+            if len(s) and int(node[row]) not in seen:
+                seen.add(int(node[row]))
+                run += [e for e, _ in all_elements(s)]
+                held += len(s)
+                if held >= RUN:
+                    yield from _frequent(run, names)
+                    run, held = [], 0
+        yield from _frequent(run, names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), batch.column(2), pa.nulls(batch.num_rows, pa.int64())], names)
+
+
+def _frequent(run: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    if run:
+        e = np.sort(np.concatenate(run))
+        ends = np.flatnonzero(np.concatenate([e[1:] != e[:-1], [True]]))
+        count = np.diff(ends, prepend=-1)
+        often = count >= SEEN
+        if often.any():
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(e[ends[often]].view(np.int64)), none, pa.array(count[often])], names)
+
+
+def _packed(parts: int, common):
     """Elements of each batch as one block of bytes for each partition that gets any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +204,7 @@ def _packed(parts: int):
             for _, s in distinct_shingles(batch.column(0)):
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    found.append(elements(s))
+                    found.append(elements(s, common.value))
                     owners.append(node)
             if not found:
                 continue
@@ -424,12 +476,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     and label (identity of the component, null without shingles) of every document row."""
     spark: SparkSession = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("handle", F.xxhash64("text"))
-    nodes = tables.stored(documents.mapInArrow(_nodes, NODES), "nodes")
+    seen = tables.stored(documents.mapInArrow(_nodes, NODES), "nodes")
+    nodes = seen.where("holders is null").drop("holders")
+    often = seen.where("holders is not null").groupBy("node").agg(F.sum("holders").alias("holders")).orderBy(F.desc("holders"), "node").limit(COMMON).select("node")
+    common = spark.sparkContext.broadcast(np.sort(often.toArrow()["node"].to_numpy().view(U64)))
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle")
     names = tables.stored(nodes.where("node >= 0").groupBy("node", "n_shingles").agg(F.min(named).alias("x")).select("node", "n_shingles", "x.doc_id", "x.handle"), "names")
     # a set of n shingles gives at most 2n / 9 + 1 elements in each of two or three size classes
     parts = _parts(spark, names.agg(F.sum(F.col("n_shingles") * 0.5 + 3)).first()[0], ELEMENTS)
-    packed = documents.select("text").mapInArrow(_packed(parts), "part int, elements binary, nodes binary, counts binary")
+    packed = documents.select("text").mapInArrow(_packed(parts, common), "part int, elements binary, nodes binary, counts binary")
     ties = tables.stored(packed.groupBy("part").applyInArrow(_ties, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared")), "ties")
     tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = tables.stored(tied.join(names, "node").select("doc_id", "handle", "node"), "tied").withColumn("blocks", F.array(F.lit(0)))
