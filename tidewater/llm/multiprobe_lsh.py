@@ -23,7 +23,8 @@ Vectors that are null, zero, or hold null or non-finite components take no part.
 vectors of its own dimension, as no other has a cosine with it.  Null ids take no part.  Of repeated
 query ids one row asks (the least vector) and rows of that id are its own; repeated candidate ids count
 once, with their best score.  Ties go to the smaller id.  Fewer candidates than asked for are all
-returned.  Extra columns are ignored.
+returned.  Vectors may be of any length.  Extra columns are ignored, whatever their names, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ SAMPLE = 2048
 BUCKET, CELLS = 40, 6
 #: Cells of a hash and buckets of a table that a query's list is drawn from, the likeliest ones.
 NEAR_CELLS, LIST = 8, 1024
-#: Queries of one scan of all rows, and bytes of probes up to which they are broadcast.
-SCANNED, BROADCAST_BYTES = 8192, 32 << 20
+#: Bytes of probes up to which they are broadcast, and of the queries of one scan of all rows.
+BROADCAST_BYTES = SCANNED_BYTES = 32 << 20
 SEED = 7
 #: Rows of a block, queries of a chunk, and how far rounding may move a score of the block product.
 ROWS, CHUNK, SLACK = 8192, 128, 1e-9
@@ -294,10 +295,11 @@ def probed(rows: DataFrame, asking: DataFrame, hashes: Hashes, k: int, single: b
     return tables.stored(met.mapInArrow(_reranked(k, single), NEAR), "near")
 
 
-def scanned(rows: DataFrame, asking: DataFrame, k: int) -> list[DataFrame]:
+def scanned(rows: DataFrame, asking: DataFrame, dims: int, k: int) -> list[DataFrame]:
     """The best candidates of the queries (id, vector) among all rows, in blocks of queries."""
     spark, out = rows.sparkSession, []
-    blocks = -(-asking.count() // (SCANNED // 2))  # hashing deals unevenly, but never twice as many
+    each = max(1, SCANNED_BYTES // (16 * dims))
+    blocks = -(-asking.count() // each)  # hashing deals unevenly, but never twice as many
     for n in range(blocks):
         block = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
         if block.num_rows:
@@ -323,7 +325,7 @@ def _search(rows: DataFrame, is_query, k: int, single: bool) -> DataFrame | None
     found = probed(rows, asking, Hashes(len(sample["vector"][0]), count), k, single)
     kth = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
     short = tables.stored(asking.join(kth, "id", "left").where((F.col("expected") < -1) | (F.coalesce("score", F.lit(-2.0)) < F.col("expected") - SLACK)).select("id", "vector"), "short")
-    for more in scanned(rows, short, k):
+    for more in scanned(rows, short, len(sample["vector"][0]), k):
         found = found.unionByName(more)
     return found
 
