@@ -15,7 +15,7 @@ score is one minus the product of one minus the confidence over the standing lab
 Null and empty texts have no words, no places and empty labels, and score 0.  Very long texts are
 scanned whole: each rule's search is linear in the text and each match costs a logarithm.  Of equal
 matches of two labels the earlier rule's stands.  Repeated rows are scanned each; extra columns are
-ignored.
+ignored, whatever their names, and an empty table gives no rows.
 """
 
 from __future__ import annotations

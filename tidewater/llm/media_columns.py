@@ -13,7 +13,8 @@ reads that table back and computes everything from the stored bytes.
 
 Null and empty texts are one block of 255.  Very long ones are one image.  Cells of equal brightness
 give a zero bit.  Equal texts give equal values, repeated rows a row each; null ids stay null.  Bytes
-that are no whole image raise ``ValueError``.  Extra columns are ignored.
+that are no whole image raise ``ValueError``.  Extra columns are ignored, whatever their names, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ together, a line counting as ``LINE_COST`` more); scoring reads every line of ev
 
 Null and empty texts count as one empty line and get the score of that; texts of line feeds only are so
 many empty lines.  Very long texts are read whole, a text at a time.  Repeated rows are scored each,
-equal texts alike; a score equal to the threshold is good.  Without usable labels, or with labels of
-one kind only, the score is their share of good ones (0.5 without any).  Extra columns are ignored.
+equal texts alike; a score equal to the threshold is good.  Without usable labels, or with labels of one
+kind only, the score is their share of good ones (0.5 without any).  Extra columns are ignored, whatever
+their names, and an empty table gives no rows.
 """
 
 from __future__ import annotations

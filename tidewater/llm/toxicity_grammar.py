@@ -18,7 +18,8 @@ texts that share a good part of their word triples count once; the calibration s
 Null and empty texts have no clause and get the score of a text without matches.  Very long texts are
 read whole, in pieces of bounded size that end between words.  Repeated rows are scored each, equal
 texts alike; a score equal to the threshold is toxic.  Without labels of both kinds the listed words
-alone decide, with a fixed curve.  Extra columns are ignored.
+alone decide, with a fixed curve.  Extra columns are ignored, whatever their names, and an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ once, so a host that a third of all pages share costs one row for each of its pa
 
 Null URLs and URLs without ``://`` have an empty host and path, which no rule fits; they are dealt by
 their page ids, so they don't meet in one task.  Very long URLs are judged whole.  Repeated rows are
-rows of the result each; a null page_id stays.  Extra columns are ignored.  Everything is DataFrame
-functions.
+rows of the result each; a null page_id stays.  Extra columns are ignored, whatever their names, and an
+empty table gives no rows.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
