@@ -15,7 +15,7 @@ The result equals the library's for the same model.  Null and empty texts have n
 to the empty text.  A character outside the vocabulary becomes one piece a byte.  The character
 U+2581 counts as a space, as the model cannot tell them apart, so a text with it is not given back
 exactly (``round_trip`` false); every other text is.  Repeated rows are encoded each; extra columns
-are ignored.
+are ignored, whatever their names, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ MODEL = os.environ.get("TIDEWATER_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_b
 LONG = 2000
 #: Bytes of distinct stretches that one suffix array covers, and of texts whose stretches are encoded once.
 INDEXED = 1 << 18
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 SPACE = "▁"
 UNKNOWN = -2
 _CACHE = 1 << 21
@@ -339,24 +339,22 @@ def _shipped(documents: DataFrame, model_file: str):
 def _digests(model, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model.value)
+        names = ["doc_id", "n_bytes", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"] + ["ids"] * with_ids
         for batch in batches:
-            n, raw, whole, digest = (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, dtype=bool), [""] * batch.num_rows)
             data, offs = string_buffer(batch.column(1))
-            pieces = [pa.array([], pa.list_(pa.int32()))]
             for a, b, ids, first, _, _ in own.encode(batch.column(1)):
-                pieces.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)) if with_ids else pieces[0])
-                n[a:b] = np.diff(first)
-                is_byte = np.isin(ids, own.v.byte_ids)
-                raw[a:b] = np.diff(np.concatenate([[0], np.cumsum(is_byte)])[first])
+                raw = np.diff(np.concatenate([[0], np.cumsum(np.isin(ids, own.v.byte_ids), dtype=np.int32)])[first])
                 back = own.decode(ids)
                 decoded_at = np.concatenate([[0], np.cumsum(np.diff(own.v.text_at)[ids])])[first]
+                digest, whole = [], []
                 for i in range(b - a):
-                    digest[a + i] = hashlib.sha256(ids[first[i] : first[i + 1]].astype("<i4").tobytes()).hexdigest()
+                    digest.append(hashlib.sha256(ids[first[i] : first[i + 1]].astype("<i4").tobytes()).hexdigest())
                     text = back[decoded_at[i] + 1 : decoded_at[i + 1]] if first[i + 1] > first[i] else back[:0]
-                    whole[a + i] = np.array_equal(text, data[offs[a + i] : offs[a + i + 1]])
-            columns = [batch.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(raw), pa.array(digest, pa.string()), pa.array(whole)]
-            names = ["doc_id", "n_bytes", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(pieces)] if with_ids else columns, [*names, "ids"] if with_ids else names)
+                    whole.append(np.array_equal(text, data[offs[a + i] : offs[a + i + 1]]))
+                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(offs[a : b + 1])), pa.array(np.diff(first)), pa.array(raw.astype(np.int64)), pa.array(digest, pa.string()), pa.array(whole, pa.bool_())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
