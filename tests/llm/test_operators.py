@@ -234,7 +234,14 @@ def test_dealt_rows(spark, tmp_path):
     for r in op4:
         assert r.copies == len(r.shards) and r.taken == r.copies * r["size"]
         assert all(low <= c * source_mixing.BINS + r.block < high for c, s in enumerate(r.shards) for low, high in [ranges[source[r.doc_id], s]])
-    assert [r.doc_id for r in corpus_pipeline.mixing(spark, documents, "").collect()] == [r.doc_id for r in out]
+    for partitions in ("4", "100"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            mix = corpus_pipeline.mixing(spark, documents, "")
+            assert [r.doc_id for r in mix.collect()] == [r.doc_id for r in out]
+            assert mix.rdd.getNumPartitions() == (32 if partitions == "4" else 128)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_mix_carries_every_row(spark):

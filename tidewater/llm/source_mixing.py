@@ -23,7 +23,8 @@ blocks before the cut.  The null source comes last.  A document's place follows
 null or not.  Repeated rows count each: rows of one place and size are ranked as one group, and which of
 them are taken follows from where they are stored, in runs, so no group meets in one task.  Sources of
 no words, and empty tables, have target 0 and nothing is taken.  Sources are a catalogue: one row each
-is held by the driver, up to ``SOURCES``, beyond which it is an error.  Extra columns stay out of the plan.
+is held by the driver, up to ``SOURCES``, beyond which it is an error.  Extra columns, whatever their names,
+stay out of the plan; ``mixed_documents`` carries them along.
 """
 
 from __future__ import annotations
@@ -229,10 +230,17 @@ def _copies(planned: DataFrame, seed: int, *columns: str) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix as whole rows: each document row as often as it is taken, by shard and, inside it, by sort key."""
+    """The mix as whole rows: each document row as often as it is taken, by shard and, inside it, by sort key.
+
+    A shard is as many partitions as there are shuffle partitions for it, each a range of the sort
+    keys; these are evenly spread, so the ranges need no sample.
+    """
     sources, _ = _dealt(tables.stored(sized(documents, seed), "sizes"), shards, seed)
     planned = _assigned(_placed(documents, seed, F.struct("*").alias("row")), sources)
-    return _copies(planned, seed, "row").orderBy("shard", "sort_key").select("row.*")
+    pieces = -(-tables.shuffle_partitions(documents.sparkSession) // shards)
+    piece = F.shiftright((F.shiftright("sort_key", 40) + F.lit(1 << 23)) * F.lit(pieces), 24)  # from the key's upper 24 bits
+    copies = _copies(planned, seed, "row").repartitionById(shards * pieces, (F.col("shard") * F.lit(pieces) + piece).cast("int"))
+    return copies.sortWithinPartitions("shard", "sort_key").select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
