@@ -59,9 +59,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         own = tables.narrow(first.where(which).select(F.col("doc_id").alias("own id"), F.col("handle").alias("own handle")))
         return docs_by.join(own, F.col("doc_id").eqNullSafe(F.col("own id")) & (F.col(HANDLE) == F.col("own handle")), "left_semi")
 
+    once = of("rows = 1").select(*docs.columns)
+    if first.where("rows > 1").isEmpty():
+        return once
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     repeated = of("rows > 1").groupBy("doc_id", HANDLE).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
-    return of("rows = 1").select(*docs.columns).unionByName(repeated)
+    return once.unionByName(repeated)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
