@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater import slt
 from tidewater.functions import semantics as S
@@ -139,6 +140,20 @@ def test_decimal_average(spark):
     assert frame.where("x > 99").agg(S.avg_decimal("x", 10, 2), S.total("x")).first() == (None, 0.0)
 
 
+def test_meanings_as_columns(spark):
+    """The helpers for DataFrame code give what the dialect gives."""
+    frame = spark.sql("select * from values (7, 2, 7.0D, date '2024-01-31'), (-7, 2, 1.0D, date '2023-12-31'), (5, 0, 0.0D, null) as v(a, b, x, d)")
+    assert [r[0] for r in frame.select(S.int_div("a", "b")).collect()] == [3, -3, None]
+    assert [r[0] for r in frame.select(S.divide("x", F.col("b").cast("double"))).collect()] == [3.5, 0.5, None]
+    assert frame.where("b > 0").select(S.modulo("a", "b"), S.as_int(S.as_bool("x"))).collect() == [(1, 1), (-1, 1)]
+    assert frame.agg(S.total("a"), S.total_distinct("b"), S.count_nulls("d"), S.sum_decimal(F.col("a").cast("decimal(10,2)"), 10, 2)).first() == (5.0, 2.0, 1, Decimal("5.00"))
+    assert [str(r[0]) for r in frame.where("d is not null").select(S.add_interval("d", 1, 1)).collect()] == ["2024-03-01", "2024-02-01"]
+    assert frame.select(S.date_diff("d", F.lit("2024-01-01").cast("date"))).first()[0] == 30
+    assert frame.where(S.in_empty()).count() == 0 and frame.where(S.in_empty(True)).count() == 3
+    assert [r.d is None for r in frame.orderBy(S.order("d")).collect()] == [False, False, True]
+    assert [r.d is None for r in frame.orderBy(S.order("d", True)).collect()] == [True, False, False]
+
+
 def test_text_sum_and_group_concat(spark, db):
     frame = spark.sql("select * from values (' 1.5 '), ('x'), (null) as v(x)")
     assert frame.agg(S.sum_text("x"), S.group_concat("x", "|")).first() == (1.5, " 1.5 |x")
