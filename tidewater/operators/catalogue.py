@@ -188,11 +188,11 @@ sql("agg_avg", "select round(avg(l_linenumber), 6) as a from lineitem")
 sql("agg_avg_distinct", "select round(avg(distinct l_linenumber), 6) as a from lineitem")
 sql(
     "agg_avg_decimal",
-    "select l_returnflag, avg(cast(l_extendedprice as decimal(15,2))) as a from lineitem group by l_returnflag",
-    "select l_returnflag, cast(round(sum(cast(l_extendedprice as decimal(15,2))) / count(*), 2) as decimal(15,2)) as a from lineitem group by l_returnflag",
+    "select l_returnflag, cast(avg(cast(l_extendedprice as decimal(15,2))) as double) as a from lineitem group by l_returnflag",
+    "select l_returnflag, cast(cast(round(sum(cast(l_extendedprice as decimal(15,2))) / count(*), 2) as decimal(15,2)) as double) as a from lineitem group by l_returnflag",
 )
 sql("agg_decimal_types", "select typeof(s) as s, typeof(a) as a, typeof(t) as t from (select sum(x) as s, avg(x) as a, total(x) as t from (select cast(1 as decimal(10,2)) as x) d) e", "select 'decimal(10,2)' as s, 'decimal(10,2)' as a, 'decimal(10,2)' as t")
-sql("agg_sum_decimal", "select l_returnflag, sum(cast(l_extendedprice as decimal(15,2))) as s, total(cast(l_tax as decimal(15,2))) as t from lineitem group by l_returnflag", "select l_returnflag, cast(sum(cast(l_extendedprice as decimal(15,2))) as decimal(15,2)) as s, cast(sum(cast(l_tax as decimal(15,2))) as decimal(15,2)) as t from lineitem group by l_returnflag")
+sql("agg_sum_decimal", "select l_returnflag, cast(sum(cast(l_extendedprice as decimal(15,2))) as double) as s, cast(total(cast(l_tax as decimal(15,2))) as double) as t from lineitem group by l_returnflag", "select l_returnflag, cast(sum(cast(l_extendedprice as decimal(15,2))) as double) as s, cast(sum(cast(l_tax as decimal(15,2))) as double) as t from lineitem group by l_returnflag")
 sql("agg_min_max", "select min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_orderkey) as first, max(o_orderkey) as last from orders")
 sql("agg_min_max_text", "select min(c_mktsegment) as lo, max(c_mktsegment) as hi from customer")
 sql("agg_count_nulls", "select sum(case when c_nationkey is null then 1 else 0 end) as n, count(*) as rows from customer where c_custkey < 0", "select 0 as n, 0 as rows")

@@ -76,12 +76,12 @@ def _prepared_backslash(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = connect(spark)
     session.execute("create table b (v text, d double)")
     session.prepare("insert into b values (?, ?)").execute("a\\nb's", 0.1)
-    session.prepare("insert into b values (?, ?)").execute("C:\\temp", float("inf"))
+    session.prepare("insert into b values (?, ?)").execute("C:\\temp", -2.5)
     return session.prepare("select v, d from b where v <> ? and length(v) < ?2").sql("\\n", 100)
 
 
 QUERIES["prepared_backslash"] = _prepared_backslash
-ORACLE["prepared_backslash"] = "select * from (values ('a\\nb''s', 0.1::double), ('C:\\temp', 'inf'::double)) t(v, d)"
+ORACLE["prepared_backslash"] = "select * from (values ('a\\nb''s', 0.1::double), ('C:\\temp', (-2.5)::double)) t(v, d)"
 
 
 def _replace_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
