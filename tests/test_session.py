@@ -370,6 +370,18 @@ def test_only_touched_segments_are_rewritten(db):
     assert db.database.compact("u") > 1 and rows(db, "select count(*) from u") == [(32,)] and len(db.state.tables["u"].segments) == 1
 
 
+def test_renamed_tables_keep_what_belongs_to_them(db):
+    db.execute("create table t (a integer, b text); create unique index i on t (a); create trigger g insert on t begin delete from t; end; insert into t values (1, 'x'); alter table t rename to u")
+    assert db.state.indexes["i"][0] == "u" and db.state.triggers["g"].table == "u"
+    with pytest.raises(DialectError, match="Duplicate key"):
+        db.execute("insert into u values (1, 'y')")
+    for bad in ("alter table u rename column a to c", "alter table u rename column b to a", "alter table t drop column b", "alter table u add column z integer"):
+        with pytest.raises(DialectError):
+            db.execute(bad)
+    db.execute("drop index i; alter table u rename column a to c; alter table u rename column b to a; alter table u alter column c set data type text; insert into u values ('2', 'y')")
+    assert rows(db, "select c, a from u") == [("1", "x"), ("2", "y")]
+
+
 def test_sessions_bind_their_own_snapshot(spark, db):
     other = Session(spark, db.database)
     db.execute("create table t (a integer); insert into t values (1)")
