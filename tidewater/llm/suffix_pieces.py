@@ -39,6 +39,8 @@ LONG = 2000
 #: Bytes of distinct stretches that one suffix array covers, and of texts whose stretches are encoded once.
 INDEXED = 1 << 18
 TOGETHER = 4 << 20
+#: Bytes of texts that are cut at once, unless one is longer.
+SLICE = 1 << 20
 SPACE = "▁"
 UNKNOWN = -2
 _CACHE = 1 << 21
@@ -260,7 +262,7 @@ class Encoder:
                 yield a + c, a + d, *rest
 
     def _encode(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple]:
-        cut = [(a, b, *_spaced(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs)]
+        cut = [(a, b, *_spaced(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs, SLICE)]
         known, texts, slices = np.zeros(0, U64), [], []
         for _, _, own, at in cut:
             begin, key = _cut(own, at)
