@@ -608,3 +608,51 @@ def test_the_pipeline_keeps_what_it_needs_only(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in tables._written.paths[-1:]] == ["stage-mixing"] and out.count() > 0
     assert all(len(r.ids) == r.n_pieces for r in out.collect())
+
+
+def test_tasks_hold_bounded_bytes_of_long_texts(spark, tmp_path):
+    """Batches for Python workers, rows decoded at once and row groups, whatever the length of texts."""
+    import pyarrow.parquet as pq
+
+    letters = np.random.default_rng(5).integers(97, 123, 1 << 18, dtype=np.uint8).tobytes().decode()
+    long = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit(letters), F.col("id").cast("string")).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 200 and max(r["size"] for r in got) < 12 << 20
+    long.write.parquet(str(tmp_path / "long"))
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "long").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 200 and sum(f.num_row_groups for f in files) > 1
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
+def test_a_users_batch_sizes_stay(spark):
+    from tidewater.llm import tables
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(3 << 20))
+        tables.importable(spark)
+        assert spark.conf.get(name) == str(3 << 20)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_frequent_elements_are_counted_across_batches():
+    text = " ".join(f"word{i}" for i in range(300))
+    rows = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f"{text} own{i} end{i}"]), pa.array([i])], ["doc_id", "text", "handle"]) for i in range(40)]
+    out = pa.Table.from_batches(list(jaccard_join._nodes(iter(rows))))
+    assert sum(x is None for x in out["holders"].to_pylist()) == 40
+    assert max(x or 0 for x in out["holders"].to_pylist()) == 40
+
+
+def test_copies_give_their_elements_once():
+    """Also those of different batches of a task."""
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"word{i}" for i in range(300))])], ["text"])
+    none = type("Broadcast", (), {"value": np.zeros(0, np.uint64)})
+    once = list(jaccard_join._packed(4, none)(iter([batch])))
+    assert len(once) == 1 and list(jaccard_join._packed(4, none)(iter([batch] * 3))) == once

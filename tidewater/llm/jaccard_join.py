@@ -63,6 +63,8 @@ STAR = 256
 BEST = 2
 #: Frequent elements: nodes of a run that hold one, elements of a run, and how many are known to all tasks (4 MB).
 SEEN, RUN, COMMON = 32, 1 << 21, 1 << 19
+#: Nodes that a task remembers, so that copies among its rows give their elements once.
+REMEMBERED = 10_000
 #: What one call of a grouped step gets on average: elements (16 bytes each), and bytes of sets or points.
 ELEMENTS, BYTES = 1 << 21, 48 << 20
 
@@ -167,21 +169,30 @@ NODES = "doc_id long, n_shingles long, node long, handle long, holders long"
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text; and for frequent elements of a run one with the element as node, and its holders."""
     names = [f.split()[0] for f in NODES.split(", ")]
+    seen: set[int] = set()
+    run, held = [], 0
     for batch in batches:
         n, node = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
-        seen: set[int] = set()
-        run, held = [], 0
         for row, s in distinct_shingles(batch.column(1)):
             n[row], node[row] = len(s), node_of(s)
-            if len(s) and int(node[row]) not in seen:
-                seen.add(int(node[row]))
+            if len(s) and _fresh(int(node[row]), seen):
                 run += [e for e, _ in all_elements(s)]
                 held += len(s)
                 if held >= RUN:
                     yield from _frequent(run, names)
                     run, held = [], 0
-        yield from _frequent(run, names)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), batch.column(2), pa.nulls(batch.num_rows, pa.int64())], names)
+    yield from _frequent(run, names)
+
+
+def _fresh(node: int, seen: set[int]) -> bool:
+    """Whether a node is not among the last ones seen; whether it is decides about work only."""
+    if node in seen:
+        return False
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.add(node)
+    return True
 
 
 def _frequent(run: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +210,11 @@ def _packed(parts: int, common):
     """Elements of each batch as one block of bytes for each partition that gets any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen, found, owners = set(), [], []
+            found, owners = [], []
             for _, s in distinct_shingles(batch.column(0)):
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
+                if len(s) and _fresh(node := node_of(s), seen):
                     found.append(elements(s, common.value))
                     owners.append(node)
             if not found:

@@ -15,17 +15,26 @@ from pyspark.sql import functions as F
 #: For Python workers: freed arrays go back to the system instead of staying with an idle worker.
 MEMORY = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "2097152", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
+#: Rows that the Parquet reader decodes at once, bytes of a batch for Python workers, and bytes of a row group, which
+#: writers and readers hold whole.  By default they are 4096 rows, 64 MB and 128 MB, for each task, some in several copies.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "parquet.block.size": str(16 << 20)}
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers of this machine import the package; a cluster gets it by ``--py-files``.
 
-    Also sets how workers return memory, as those of several stages live side by side.
+    Also sets how workers return memory, as those of several stages live side by side, and bounds what
+    a task holds of long texts at once, where the session's user has not.
     """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     for name, value in MEMORY.items():
         env.setdefault(name, value)
+    given, hadoop = spark._jsparkSession.sessionState().conf(), spark._jsc.hadoopConfiguration()
+    for name, value in BATCHES.items():
+        if not given.contains(name) and hadoop.get(name) is None:
+            spark.conf.set(name, value)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
