@@ -656,3 +656,12 @@ def test_copies_give_their_elements_once():
     none = type("Broadcast", (), {"value": np.zeros(0, np.uint64)})
     once = list(jaccard_join._packed(4, none)(iter([batch])))
     assert len(once) == 1 and list(jaccard_join._packed(4, none)(iter([batch] * 3))) == once
+
+
+def test_the_drivers_rows_start_no_workers(spark, folder):
+    """Pickled rows would run through Python workers of their own beside those of the operators."""
+    from tidewater.llm import tables
+
+    sizes = tables.stored(source_mixing.sized(tables.read(spark, folder, "documents")), "sizes")
+    for frame in source_mixing._dealt(sizes, 4, 1):
+        assert "ExistingRDD" not in frame._jdf.queryExecution().executedPlan().toString() and frame.count() > 0

@@ -127,7 +127,7 @@ def _dealt(docs: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFram
     whole = {s: int(goal[s] // size[s]) if size[s] else 0 for s in goal}
     rest = {s: max(0.0, goal[s] - whole[s] * size[s]) for s in goal}
     schema = "source string, source_size long, target double, whole int, rest double"
-    sources = spark.createDataFrame([(s, size[s], float(goal[s]), whole[s], rest[s]) for s in goal], schema)
+    sources = tables.local(spark, [(s, size[s], float(goal[s]), whole[s], rest[s]) for s in goal], schema)
 
     # the cut: level by level the bin in which the rest falls, and what is left for it
     cut = sources.select("source", "rest")
@@ -150,9 +150,10 @@ def _dealt(docs: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFram
     counts = split(quota, shards, seed)
     ends = np.cumsum(counts, axis=0)
     ranges = {s: [(j, int(ends[j, i] - counts[j, i]), int(ends[j, i])) for j in range(shards) if counts[j, i]] for i, s in enumerate(order)}
-    draws = spark.createDataFrame([(s, *x) for s in order for x in ranges[s]], "of string, shard int, low long, high long")
+    draws = tables.local(spark, [(s, *x) for s in order for x in ranges[s]], "of string, shard int, low long, high long")
     schema = "of string, source_size long, target double, whole int, edge long, inside double, ranges array<struct<shard: int, low: long, high: long>>"
-    return spark.createDataFrame([(s, size[s], float(goal[s]), whole[s], *cuts.get(s, (None, None)), ranges[s]) for s in order], schema), draws
+    parts = {s: [{"shard": j, "low": low, "high": high} for j, low, high in ranges[s]] for s in order}
+    return tables.local(spark, [(s, size[s], float(goal[s]), whole[s], *cuts.get(s, (None, None)), parts[s]) for s in order], schema), draws
 
 
 def _assigned(rows: DataFrame, sources: DataFrame) -> DataFrame:

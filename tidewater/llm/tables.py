@@ -8,8 +8,11 @@ import threading
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: For Python workers: freed arrays go back to the system instead of staying with an idle worker.
@@ -85,6 +88,16 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table, structs as dicts.
+
+    They go by Arrow: as pickled rows they would start a second set of Python workers on each executor.
+    """
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow), kind)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
