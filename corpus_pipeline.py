@@ -37,16 +37,17 @@ def _schema(docs: DataFrame) -> str:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_crf.fit(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"), quality_crf.HELD_OUT)
-    return docs.mapInArrow(quality_crf.kept(model), _schema(docs))
+    return tables.bounded(docs).mapInArrow(quality_crf.kept(model), _schema(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_grammar.fit(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"), toxicity_grammar.HELD_OUT)
-    return docs.mapInArrow(toxicity_grammar.kept(model), _schema(docs))
+    return tables.bounded(docs).mapInArrow(toxicity_grammar.kept(model), _schema(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
+    docs = tables.bounded(docs)
     found = jaccard_join.near_duplicates(docs)
     rows = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "handle").alias("row")
     texts = found.where("label is not null").groupBy("label", rows).agg(F.count("*").alias("rows"))
@@ -69,12 +70,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
-    return source_mixing.mixed_documents(docs)
+    return source_mixing.mixed_documents(tables.bounded(docs))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables.importable(spark)
-    return suffix_pieces.encoded_digests(docs, with_ids=True)
+    return suffix_pieces.encoded_digests(tables.bounded(docs), with_ids=True)
 
 
 STAGES = [

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -642,6 +643,30 @@ def test_a_users_batch_sizes_stay(spark):
         spark.conf.set(name, before)
 
 
+def test_large_row_groups_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """As many as fit the heap at once; rows stay, and tables in small row groups keep their tasks."""
+    from tidewater.llm import tables
+
+    rng = np.random.default_rng(1)
+    texts = [rng.bytes(500).hex() for _ in range(4000)]
+    table = pa.table({"doc_id": list(range(4000)), "text": texts})
+    for name, rows in (("large", 1000), ("small", 10)):
+        pq.write_table(table, tmp_path / f"{name}.parquet", row_group_size=rows, use_dictionary=False)
+    monkeypatch.setattr(tables, "READ_SHARE", 2_500_000 / spark._jvm.Runtime.getRuntime().maxMemory(), raising=False)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500000")
+        found = {name: tables.read(spark, str(tmp_path), name) for name in ("large", "small")}
+        assert found["large"].rdd.getNumPartitions() == 2  # of 1 MB each in 2.5 MB
+        assert found["small"].rdd.getNumPartitions() >= 4
+        for df in found.values():
+            assert sorted(map(tuple, df.collect())) == list(zip(range(4000), texts, strict=True))
+        for df in (spark.range(3), found["small"].union(found["small"])):  # no table, more than one
+            assert tables.bounded(df) is df
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_frequent_elements_are_counted_across_batches():
     text = " ".join(f"word{i}" for i in range(300))
     rows = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f"{text} own{i} end{i}"]), pa.array([i])], ["doc_id", "text", "handle"]) for i in range(40)]

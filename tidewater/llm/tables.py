@@ -42,7 +42,55 @@ def importable(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Share of a heap that row groups being read may take, and of how many files, the largest, their sizes are looked up:
+#: a table's files are mostly written alike.
+READ_SHARE, FOOTERS = 0.4, 64
+
+
+def heap(spark: SparkSession) -> int:
+    """Bytes of the heap that tasks share, of one executor."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        return int(spark._jvm.Runtime.getRuntime().maxMemory())
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(sc.getConf().get("spark.executor.memory", "1g")))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A read table, in fewer tasks where those that run at once would fill the heap with their row groups.
+
+    A reader holds the row group that it is at, so of a table in large ones a few tasks can take all
+    memory, whatever a batch's size.  The largest decides; files smaller than a task's share can't hold
+    one that is too large, so mostly nothing is looked up.
+    """
+    spark = df.sparkSession
+    sc, leaves = spark.sparkContext, df._jdf.queryExecution().analyzed().collectLeaves()
+    if leaves.size() != 1 or leaves.apply(0).getClass().getSimpleName() != "LogicalRelation":
+        return df
+    relation = leaves.apply(0).relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return df
+    location = relation.location()
+    executors = max(1, sc._jsc.sc().getExecutorMemoryStatus().size() - (not sc.master.startswith("local") or sc.master.startswith("local-cluster")))
+    cores, most = -(-sc.defaultParallelism // executors), int(heap(spark) * READ_SHARE)
+    if location.sizeInBytes() <= most // cores:
+        return df
+    files = location.allFiles()
+    large = sorted(((f.getLen(), f.getPath()) for f in map(files.apply, range(files.size())) if f.getLen() > most // cores), key=lambda x: -x[0])
+    group = max((_row_group(spark, path) for _, path in large[:FOOTERS]), default=0)
+    return df if group <= most // cores else df.coalesce(max(1, most // group) * executors)
+
+
+def _row_group(spark: SparkSession, path) -> int:
+    """Bytes of a file's largest row group, as stored."""
+    hadoop = spark._jvm.org.apache.parquet.hadoop
+    file = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration()))
+    try:
+        return max((b.getCompressedSize() for b in file.getFooter().getBlocks()), default=0)
+    finally:
+        file.close()
 
 
 def shared_folder(spark: SparkSession) -> str:
